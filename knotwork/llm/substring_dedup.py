@@ -27,8 +27,8 @@ from .common import grouped, partitions, read, small_batches
 from .words import mix, text_slices, window_hashes, word_hashes, word_spans
 
 WINDOW = 35
-#: Chunks of documents for each shuffle partition.
-CHUNKS = 16
+#: Chunks of documents for each shuffle partition. A chunk sends each bucket one row, so more chunks mean more and shorter rows.
+CHUNKS = 2
 
 
 def _hashed(texts: pa.Array, window: int):
@@ -55,16 +55,13 @@ class _Chunk:
         self.parts = list(_hashed(texts, window))
         probes, blocks = [], []
         for *_, ranges, words in self.parts:
-            h, at = window_hashes(words, self._long(ranges), self.block)
+            h, at = window_hashes(words, ranges, self.block)
             probes.append(h)
             place = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
             blocks.append(place % self.block == 0)
         self.probes = np.concatenate(probes) if probes else np.zeros(0, np.uint64)
         self.blocks = np.concatenate(blocks) if blocks else np.zeros(0, bool)
 
-    def _long(self, ranges: np.ndarray) -> np.ndarray:
-        return ranges
-
     def candidates(self, hits: np.ndarray) -> tuple[np.ndarray, list]:
         """Digests of the windows with a hit in them, and for each part their first words."""
         out, firsts, used = [], [], 0
