@@ -12,6 +12,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,21 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Letters that every Unicode version and both tokenizers take for letters and that normalisation leaves alone.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]{0,8})")
+
+
+def _byte_level() -> dict[int, str]:
+    """The printable characters that byte-level tokenizers write bytes with: bytes that print stand for themselves, the
+    others follow from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
 class Encoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -42,7 +58,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.limit, self.known = cache, {}
+        self.limit, self.known, self.tails = cache, {}, {}
         spec = json.load(open(path, encoding="utf-8"))
         self.cut = self._whole
         before = spec.get("pre_tokenizer") or {}
@@ -80,18 +96,38 @@ class Encoder:
         new = set()
         for p in pieces:
             new.update(set(p).difference(self.known))
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = set().union(*pieces)
-        new = list(new)
-        for i in range(0, len(new), 2000):  # one call for many pieces; each token says which piece it is of
-            some = new[i : i + 2000]
+        full = len(self.known) + len(new) > self.limit
+        self._learn(list(new))
+        known = self.known
+        out = [b"".join([known[x] for x in p]) for p in pieces]
+        if full:  # what was met first stays: frequent pieces are among it
+            for p in new:
+                del known[p]
+        return out
+
+    def _learn(self, new: list) -> None:
+        """A word of plain letters goes straight to the library's model, what follows it in punctuation is met apart; the rest
+        goes through the whole tokenizer, many pieces a call (each token says which piece it is of)."""
+        known, tails, rest = self.known, self.tails, []
+        for p in new:
+            text = self._text(p)
+            if self.cut == self._whole or not (m := _PLAIN.fullmatch(text)):
+                rest.append(p)
+                continue
+            word, tail = m.groups()
+            ids = [t.id for t in self.model.model.tokenize((word.lower() if self.cut == self._words else word).encode().decode("latin-1").translate(_BYTE_LEVEL))]
+            got = array("I", ids).tobytes()
+            if tail:
+                if tail not in tails:
+                    tails[tail] = array("I", self.model.encode(tail, add_special_tokens=False).ids).tobytes()
+                got += tails[tail]
+            known[p] = got
+        for i in range(0, len(rest), 2000):
+            some = rest[i : i + 2000]
             made = self.model.encode([self._text(p) for p in some], is_pretokenized=True, add_special_tokens=False)
             ids, at = np.array(made.ids, "<u4"), np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(some) + 1)).tolist()
             for k, p in enumerate(some):
-                self.known[p] = ids[at[k] : at[k + 1]].tobytes()
-        known = self.known
-        return [b"".join([known[x] for x in p]) for p in pieces]
+                known[p] = ids[at[k] : at[k + 1]].tobytes()
 
 
 _encoders: dict[str, Encoder] = {}

@@ -127,11 +127,14 @@ class Unigram:
         new: set[str] = set()
         for p in parts:
             new.update(set(p).difference(self.known))
-        if len(self.known) + len(new) > self.limit:
-            self.known, new = {}, set().union(*parts)
+        full = len(self.known) + len(new) > self.limit
         self._learn(list(new))
         known = self.known
-        return [b"".join([known[w] for w in p]) for p in parts]
+        out = [b"".join([known[w] for w in p]) for p in parts]
+        if full:  # what was met first stays: frequent words are among it
+            for w in new:
+                del known[w]
+        return out
 
     def _learn(self, new: list[str]) -> None:
         coded = [(w[1:] if w[:1] == "\0" else MARK + w).encode() for w in new]
