@@ -36,6 +36,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A list of ids is broadcast up to so many rows (its rows are counted first, some 100 bytes each); beyond, it is joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """ids, written and counted; marked for broadcast if they are few enough."""
+    ids = written(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that long texts do not pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import read, sized, written
 
 SLOTS, KICKS = 4, 200
 #: Distinct digests that a map task gathers before it passes its partial groups on.
@@ -189,9 +189,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    verdict = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    gone = sized(exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct())
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_id"]) & (sha == verdict["_sha"]), "left_semi")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (sha == gone["_sha"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

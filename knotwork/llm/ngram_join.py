@@ -9,7 +9,7 @@
 4. What is left falls into small candidate groups. In each, incidence rows are multiplied block by block: overlap
    counts of a block of rows against all rows not yet reached; pairs below the bound are discarded, the rest link.
    Only a spanning forest of each block is emitted: components and links between components are whole without listing
-   all pairs of a group. Groups over TILE rows are split into pairs of tiles.
+   all pairs of a group. Groups over a tile are split into pairs of tiles.
 
 Set equality and overlaps are of 64-bit hashes. Defined results: null and empty texts have an empty set and link with
 nothing; fewer words than n form one shingle; rows that repeat a doc_id are one more copy; an empty table gives an
@@ -22,17 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, grouped, read, small_batches, written
+from .common import connected_components, grouped, read, sized, small_batches, written
 from .words import LOWER, shingle_sets, text_slices
 
 #: Buckets of the frequency table: its size does not depend on the data.
 COUNT_BITS = 17
 HIST = 64
-#: Rows of a tile; a larger group is split into pairs of tiles.
-TILE = 2048
+#: The same for the rows of a candidate group: finer, so closer to the symmetric difference.
+FINE = 256
+#: A larger group is split into pairs of tiles: of so many histograms, or of rows with so many shingles (8 bytes each).
+TILE, TILE_SHINGLES = 4096, 4_000_000
 
 
 def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -130,20 +132,24 @@ def _candidates(percent: int):
     return run
 
 
-def _links(percent: int):
+def _links(k: int, percent: int):
     def run(g: dict) -> list[tuple]:
-        ids, first = np.unique(g["rep"], return_index=True)
+        sets = [h[s:e] for _, h, at in _sets(pa.array(g["text"], pa.string()), k) for s, e in zip(at[:-1], at[1:], strict=True)]
+        same = np.flatnonzero(np.array([len(x) for x in sets]) == g["n"])  # else another row of this doc_id
+        ids, first = np.unique(g["rep"][same], return_index=True)
         if len(ids) < 2:
             return []
-        rows = [np.frombuffer(g["shingles"][i], np.uint64) for i in first.tolist()]
+        rows = [sets[i] for i in same[first].tolist()]
         n = np.array([len(r) for r in rows])
         at = np.concatenate([[0], np.cumsum(n)])
         _, cols = np.unique(np.concatenate(rows), return_inverse=True)
         mark = np.zeros(int(cols.max()) + 1, bool)
+        hist = np.stack([np.bincount((r >> np.uint64(20)).astype(np.int64) % FINE, minlength=FINE) for r in rows]).astype(np.int16)
 
         def near(i, rest):
-            """One row of the product with the rows in rest: its overlap counts, less those out of size bounds."""
-            fit = 100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])
+            """One row of the product with the rows in rest: its overlap counts, less those out of size-derived bounds."""
+            both = n[i] + n[rest]
+            fit = np.abs(hist[rest] - hist[i]).sum(1) <= both - 2 * least_overlap(n[i], n[rest], percent)
             out = np.zeros(len(rest), bool)
             some = rest[fit]
             if len(some):
@@ -160,42 +166,36 @@ def _links(percent: int):
     return run
 
 
-def _tiled(rows: DataFrame, key: str, tile: int) -> DataFrame:
-    """Number the rows of each key by size and give each tile pair (key, i, j) its rows; one pair for up to tile rows."""
-    from pyspark.sql import Window
-
+def _tiled(rows: DataFrame, key: str, weight: Column, tile: int) -> DataFrame:
+    """Order the rows of each key by size, cut them into tiles of about that weight, and give each pair of tiles
+    (key, i, j) its rows; a key of up to one tile has one pair."""
     w = Window.partitionBy(key)
-    placed = rows.withColumn("b", F.floor((F.row_number().over(w.orderBy("n", "rep")) - 1) / F.lit(tile))).withColumn("nb", F.floor((F.count(F.lit(1)).over(w) - 1) / F.lit(tile)))
+    before = F.sum(weight).over(w.orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("b", F.floor(F.coalesce(before, F.lit(0)) / F.lit(tile))).withColumn("nb", F.max("b").over(w))
     other = F.explode(F.sequence(F.lit(0).cast("long"), "nb"))
     return placed.withColumn("o", other).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o")).drop("b", "nb", "o")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 3, percent: int = 90, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     small_batches(docs.sparkSession)
     all_rows = written(profiles(docs, text, key, n, percent))
     best = F.min(F.struct("doc_id", "hist", "index"))
     classes = written(all_rows.where("n > 0").groupBy("d1", "d2", "n").agg(best.alias("r")).select("d1", "d2", "n", F.col("r.doc_id").alias("rep"), F.col("r.hist").alias("hist"), F.col("r.index").alias("index")))
 
-    from pyspark.sql import Window
-
-    posted = classes.select("rep", "n", F.explode("index").alias("h")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1").select("h", "rep", "n")
-    listed = _tiled(posted, "h", tile).join(classes.select("rep", "hist"), "rep").select("h", "i", "j", "rep", "n", "hist")
+    # Of the classes that share a shingle, those whose next smaller or next larger one is within the size bound.
+    by_size = Window.partitionBy("h").orderBy("n", "rep")
+    posted = classes.select("rep", "n", F.explode("index").alias("h")).withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
+    posted = posted.where((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent)).select("h", "rep", "n")
+    listed = _tiled(posted, "h", F.lit(1), tile).join(classes.select("rep", "hist"), "rep").select("h", "i", "j", "rep", "n", "hist")
     likely = grouped(listed, ["h", "i", "j"], _candidates(percent), "u bigint, v bigint")
     label = connected_components(likely)
 
-    # The sets of candidates are made again from their texts: cheaper than keeping the sets of all documents.
-    def sets(batches):
-        for b in batches:
-            for first, h, at in _sets(b.column(2), n):
-                same = np.flatnonzero(np.diff(at) == b.column(1).to_numpy()[first : first + len(at) - 1])  # else another row of this doc_id
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(at) - 1).take(pa.array(same)), pa.array([h[at[k] : at[k + 1]].tobytes() for k in same.tolist()], pa.binary())], ["rep", "shingles"])
-
+    # Candidates' texts go to their tiles in one shuffle, and their sets are made again there: smaller than sets of all documents.
     wanted = written(label.join(classes.select("rep", "n"), F.col("node") == F.col("rep")).select("component", "rep", "n"))
-    named = docs.select(F.col(key).cast("long").alias("rep"), text)
-    rows = named.join(wanted, "rep").select("rep", "n", text).mapInArrow(sets, "rep bigint, shingles binary")
-    tiles = _tiled(wanted, "component", tile).join(written(rows), "rep").select("component", "i", "j", "rep", "shingles")
-    links = grouped(tiles, ["component", "i", "j"], _links(percent), "u bigint, v bigint")
+    tiles = sized(_tiled(wanted, "component", F.col("n"), tile_shingles).select("component", "i", "j", "rep", "n"))
+    rows = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(text, F.lit("")).alias("text")).join(tiles, "rep").select("component", "i", "j", "rep", "n", "text")
+    links = grouped(rows, ["component", "i", "j"], _links(n, percent), "u bigint, v bigint")
     linked = connected_components(links)
     named_classes = classes.join(linked, classes["rep"] == linked["node"], "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
     return all_rows.select("doc_id", "n", "d1", "d2").join(named_classes, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -204,7 +204,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those whose component has a smaller doc_id; columns as they are. A null doc_id stays."""
     gone = jaccard_components(docs.where("doc_id is not null"), n=n, percent=percent).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(sized(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

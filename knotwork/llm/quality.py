@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import read, sized, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 AXES = ("x_length", "x_symbols", "x_repeats", "x_lines", "x_capitals")
@@ -157,8 +157,8 @@ def judged(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns; rows that share a doc_id stay if one of them passes."""
-    good = judged(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]), "left_semi")
+    bad = sized(judged(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_id")))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
