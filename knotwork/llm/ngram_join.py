@@ -4,7 +4,7 @@
 2. A class indexes only the shingles that the size bound leaves: of n, the first n - ceil(t n) + 1 in a global order
    that puts frequent shingles last. The order comes from a fixed-size table of bucket counts over all documents; any
    order gives the same result, so its collisions cost time only. Two sets of similarity t share an indexed shingle.
-3. Classes that share one are compared by 64-bucket histograms of their sets. The L1 distance of histograms never
+3. Classes that share one are compared by bucket histograms of their sets. The L1 distance of histograms never
    exceeds the size of the symmetric difference, so a pair beyond the size-derived bound is discarded exactly.
 4. What is left falls into small candidate groups. In each, incidence rows are multiplied block by block: overlap
    counts of a block of rows against all rows not yet reached; pairs below the bound are discarded, the rest link.
@@ -31,8 +31,10 @@ from .words import LOWER, shingle_sets, text_slices
 #: Buckets of the frequency table: its size does not depend on the data.
 COUNT_BITS = 17
 HIST = 64
+#: Below a similarity of 0.9 the bound on the symmetric difference is wider, so histograms must be finer to tell sets apart.
+WIDE = 512
 #: The same for the rows of a candidate group: finer, so closer to the symmetric difference.
-FINE = 256
+FINE = 512
 #: A larger group is split into pairs of tiles: of so many histograms, or of rows with so many shingles (8 bytes each).
 TILE, TILE_SHINGLES = 4096, 4_000_000
 
@@ -60,9 +62,14 @@ def frequency_levels(docs: DataFrame, text: str, n: int) -> np.ndarray:
     return np.maximum(0, np.ceil(4 * np.log2(np.maximum(total, 1) / mean))).astype(np.uint8)
 
 
+def buckets_for(percent: int) -> int:
+    return HIST if percent >= 90 else WIDE
+
+
 def profiles(docs: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
     """doc_id, set size, two digests of the set, its histogram and its indexed shingles."""
     levels = frequency_levels(docs, text, n)
+    width = buckets_for(percent)
 
     def run(batches):
         for b in batches:
@@ -70,8 +77,8 @@ def profiles(docs: DataFrame, text: str, key: str, n: int, percent: int) -> Data
             for first, h, at in _sets(b.column(1), n):
                 sizes = np.diff(at)
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                bucket = row * HIST + (h >> np.uint64(20)).astype(np.int64) % HIST
-                hist = np.minimum(np.bincount(bucket, minlength=len(sizes) * HIST), 255).astype(np.uint8).tobytes()
+                bucket = row * width + (h >> np.uint64(20)).astype(np.int64) % width
+                hist = np.minimum(np.bincount(bucket, minlength=len(sizes) * width), 255).astype(np.uint8).tobytes()
                 run_sum, run_mix = np.zeros(len(h) + 1, np.uint64), np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(h, out=run_sum[1:])
                 np.cumsum((h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25), out=run_mix[1:])
@@ -86,7 +93,7 @@ def profiles(docs: DataFrame, text: str, key: str, n: int, percent: int) -> Data
                         pa.array(sizes.astype(np.int64)),
                         pa.array((run_sum[at[1:]] - run_sum[at[:-1]]).astype(np.int64)),
                         pa.array((run_mix[at[1:]] - run_mix[at[:-1]]).astype(np.int64)),
-                        pa.array([hist[i * HIST : i * HIST + HIST] for i in range(len(sizes))], pa.binary()),
+                        pa.array([hist[i * width : i * width + width] for i in range(len(sizes))], pa.binary()),
                         lists,
                     ],
                     ["doc_id", "n", "d1", "d2", "hist", "index"],
@@ -116,12 +123,14 @@ def _forest(n: int, near) -> list[tuple[int, int]]:
 
 
 def _candidates(percent: int):
+    width = buckets_for(percent)
+
     def run(g: dict) -> list[tuple]:
         ids, first = np.unique(g["rep"], return_index=True)
         if len(ids) < 2:
             return []
         n = g["n"][first]
-        hist = np.frombuffer(b"".join(g["hist"][i] for i in first.tolist()), np.uint8).reshape(-1, HIST).astype(np.int16)
+        hist = np.frombuffer(b"".join(g["hist"][i] for i in first.tolist()), np.uint8).reshape(-1, width).astype(np.int16)
 
         def near(i, rest):
             both = n[i] + n[rest]
@@ -203,7 +212,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those whose component has a smaller doc_id; columns as they are. A null doc_id stays."""
-    gone = jaccard_components(docs.where("doc_id is not null"), n=n, percent=percent).where("component_id <> doc_id").select("doc_id")
+    gone = jaccard_components(docs.where("doc_id is not null"), n=n, percent=percent, tile_shingles=TILE_SHINGLES // 2).where("component_id <> doc_id").select("doc_id")
     return docs.join(sized(gone), "doc_id", "left_anti").select(docs.columns)
 
 
