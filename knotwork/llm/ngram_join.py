@@ -35,7 +35,7 @@ HIST = 64
 WIDE = 512
 #: The same for the rows of a candidate group: finer, so closer to the symmetric difference.
 FINE = 512
-#: A larger group is split into pairs of tiles: of so many histograms, or of rows with so many shingles (8 bytes each).
+#: A larger group is split into pairs of tiles: of so many histograms, or of rows with so many shingles (8 bytes each) and histograms (as much as FINE // 4 shingles).
 TILE, TILE_SHINGLES = 4096, 4_000_000
 
 
@@ -153,7 +153,9 @@ def _links(k: int, percent: int):
         at = np.concatenate([[0], np.cumsum(n)])
         _, cols = np.unique(np.concatenate(rows), return_inverse=True)
         mark = np.zeros(int(cols.max()) + 1, bool)
-        hist = np.stack([np.bincount((r >> np.uint64(20)).astype(np.int64) % FINE, minlength=FINE) for r in rows]).astype(np.int16)
+        hist = np.empty((len(rows), FINE), np.int16)
+        for i, r in enumerate(rows):
+            hist[i] = np.bincount((r >> np.uint64(20)).astype(np.int64) % FINE, minlength=FINE)
 
         def near(i, rest):
             """One row of the product with the rows in rest: its overlap counts, less those out of size-derived bounds."""
@@ -175,6 +177,13 @@ def _links(k: int, percent: int):
     return run
 
 
+def _one_of_each(posted: DataFrame) -> DataFrame:
+    """Of shingles with the same classes (near copies share many), the smallest: comparing the classes once is enough.
+    Equal lists are told by their length and two 64-bit digests, which Spark sums before the shuffle."""
+    digest = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep")).alias("d1"), F.sum(F.shiftright(F.xxhash64("rep", F.lit(1)), 24)).alias("d2")]
+    return posted.groupBy("h").agg(*digest).groupBy("m", "d1", "d2").agg(F.min("h").alias("h")).select("h")
+
+
 def _tiled(rows: DataFrame, key: str, weight: Column, tile: int) -> DataFrame:
     """Order the rows of each key by size, cut them into tiles of about that weight, and give each pair of tiles
     (key, i, j) its rows; a key of up to one tile has one pair."""
@@ -195,14 +204,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     # Of the classes that share a shingle, those whose next smaller or next larger one is within the size bound.
     by_size = Window.partitionBy("h").orderBy("n", "rep")
     posted = classes.select("rep", "n", F.explode("index").alias("h")).withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
-    posted = posted.where((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent)).select("h", "rep", "n")
-    listed = _tiled(posted, "h", F.lit(1), tile).join(classes.select("rep", "hist"), "rep").select("h", "i", "j", "rep", "n", "hist")
+    posted = written(posted.where((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent)).select("h", "rep", "n"))
+    listed = _tiled(posted.join(_one_of_each(posted), "h", "left_semi"), "h", F.lit(1), tile).join(classes.select("rep", "hist"), "rep").select("h", "i", "j", "rep", "n", "hist")
     likely = grouped(listed, ["h", "i", "j"], _candidates(percent), "u bigint, v bigint")
     label = connected_components(likely)
 
     # Candidates' texts go to their tiles in one shuffle, and their sets are made again there: smaller than sets of all documents.
     wanted = written(label.join(classes.select("rep", "n"), F.col("node") == F.col("rep")).select("component", "rep", "n"))
-    tiles = sized(_tiled(wanted, "component", F.col("n"), tile_shingles).select("component", "i", "j", "rep", "n"))
+    tiles = sized(_tiled(wanted, "component", F.col("n") + FINE // 4, tile_shingles).select("component", "i", "j", "rep", "n"))
     rows = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(text, F.lit("")).alias("text")).join(tiles, "rep").select("component", "i", "j", "rep", "n", "text")
     links = grouped(rows, ["component", "i", "j"], _links(n, percent), "u bigint, v bigint")
     linked = connected_components(links)
