@@ -47,3 +47,15 @@ DECOY_WORDS = "groupe developpement france participations distribution internati
 
 #: Latin letters and what they fold to; the same pair serves Spark and SQL.
 FOLD = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+# --- fixed values of the edit explanation and the organisation-word rules, in natural order ---
+EDIT_LEGAL = "inc incorporated llc llp corp corporation co company ltd limited pvt private pte plc lp pc pllc sarl sas sa eurl sasu sci snc ei".split()
+EDIT_FILLER = "group groupe services international enterprises developpement development compagnie associes associates fils sons freres brothers holding holdings participations distribution france trust partners center centre solutions global industries trading sri shri mr ms cie and et".split()
+EDIT_GENERIC = "club ecole amicale comite sportive amis parents union primaire college maison societe pharmacie fetes loisirs federation anciens sante culture culturel culturelle jeunes association art sport elementaire maternelle residence groupement lycee foyer institut cercle atelier musique gestion solidarite entraide etablissements ets".split()
+ARTICLES = "the of de du des la le les d l".split()
+ORG = "club ecole amicale comite sportive amis centre parents union primaire college maison societe pharmacie fetes loisirs federation anciens sante culture culturel culturelle jeunes association art sport elementaire maternelle residence groupement lycee foyer institut cercle atelier musique gestion solidarite entraide etablissements ets".split()
+ORG_FILLER = "groupe developpement france services associes fils and et holding participations distribution international compagnie cie freres de du des la le les d l".split()
+ORG_NEW = "section collectif service patrimoine danse ehpad theatre conseil soins sportif medico agricole ateliers auto clinique cafe energie concept etablissement medical hopital automobile restaurant travaux transports eau batiment garage restauration bar immobiliere transport hotel construction peinture coiffure immobilier gaz logistique finance finances industrie elevage btp immo menuiserie".split()
+GENERIC_CORE = ORG[:35] + "groupe developpement compagnie services associes fils freres holding participations distribution international france and de du des la le les d l et".split()
+DROPPED_KINDS = ["swap", "org added", "org added (other drop)", "org dropped + filler (other add)"]
+# --- end of fixed values ---
