@@ -59,3 +59,17 @@ ORG_NEW = "section collectif service patrimoine danse ehpad theatre conseil soin
 GENERIC_CORE = ORG[:35] + "groupe developpement compagnie services associes fils freres holding participations distribution international france and de du des la le les d l et".split()
 DROPPED_KINDS = ["swap", "org added", "org added (other drop)", "org dropped + filler (other add)"]
 # --- end of fixed values ---
+
+# --- fixed values of the linking keys, in natural order ---
+KEY_NOISE = (
+    "sarl sas sasu eurl sa sci snc ei s a r l u e i c com groupe developpement international participations distribution holding services associes et and france frnce "
+    "de du des la le les d cie fils freres frs dba aka fka formerly doing business as known nee trading enterprises labs sys co one 5arl 5as societe ste ets etablissements compagnie"
+).split()
+KEY_ADDRESS = {
+    "rue": "rue", "r": "rue", "avenue": "avenue", "av": "avenue", "ave": "avenue", "allee": "allee", "all": "allee", "boulevard": "boulevard", "bd": "boulevard",
+    "blvd": "boulevard", "impasse": "impasse", "imp": "impasse", "route": "route", "rte": "route", "chemin": "chemin", "ch": "chemin", "place": "place", "pl": "place",
+    "cours": "cours", "crs": "cours", "quai": "quai", "q": "quai", "st": "saint", "ste": "sainte", "no": "", "ndeg": "", "n": "", "b": "bis", "t": "ter",
+    "de": "", "du": "", "des": "", "la": "", "le": "", "les": "", "d": "", "l": "",
+}
+KEY_REGIONS = ["hauts", "france", "nouvelle", "aquitaine", "pays", "loire", "nord", "gironde", "atlantique", "pas", "calais"]
+# --- end of fixed values ---

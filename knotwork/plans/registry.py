@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import linkage as L
 from ..sources import tables
 from . import records as R
-from . import scoring
+from . import keyed, scoring
 
 CAP = 50
 
@@ -170,6 +170,7 @@ QUERIES = {
     "token_set_rerank": _rerank,
     "gbt_out_of_fold": _oof,
     **scoring.QUERIES,
+    **keyed.QUERIES,
 }
 
 # --- SQL -------------------------------------------------------------------------------------------------------------
@@ -300,4 +301,5 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY o ORDER BY sim DESC, s) AS
 c AS (SELECT z[1] AS x, z[2] AS y, count(*) AS n FROM z GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY n DESC, y) AS r, sum(n) OVER (PARTITION BY x) AS t FROM c)
 SELECT x, y, n FROM r WHERE r = 1 AND n >= 2 AND n >= t * 0.1 AND x <> y""",
     **scoring.ORACLES,
+    **keyed.ORACLES,
 }
