@@ -37,6 +37,8 @@ WIDE = 512
 FINE = 512
 #: A larger group is split into pairs of tiles: of so many histograms, or of rows with so many shingles (8 bytes each) and histograms (as much as FINE // 4 shingles).
 TILE, TILE_SHINGLES = 4096, 4_000_000
+#: Shingles of one block of the product: bounds its temporary arrays.
+BLOCK = 1 << 18
 
 
 def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -143,33 +145,44 @@ def _candidates(percent: int):
 
 def _links(k: int, percent: int):
     def run(g: dict) -> list[tuple]:
-        sets = [h[s:e] for _, h, at in _sets(pa.array(g["text"], pa.string()), k) for s, e in zip(at[:-1], at[1:], strict=True)]
+        sets = [h[s:e] for _, h, at in _sets(pa.array(g.pop("text"), pa.string()), k) for s, e in zip(at[:-1], at[1:], strict=True)]
         same = np.flatnonzero(np.array([len(x) for x in sets]) == g["n"])  # else another row of this doc_id
         ids, first = np.unique(g["rep"][same], return_index=True)
         if len(ids) < 2:
             return []
         rows = [sets[i] for i in same[first].tolist()]
+        del sets
         n = np.array([len(r) for r in rows])
         at = np.concatenate([[0], np.cumsum(n)])
-        _, cols = np.unique(np.concatenate(rows), return_inverse=True)
-        mark = np.zeros(int(cols.max()) + 1, bool)
+        names = np.concatenate(rows)
+        names.sort()
+        names = names[np.concatenate([[True], names[1:] != names[:-1]])]
+        cols = np.empty(at[-1], np.int32)
         hist = np.empty((len(rows), FINE), np.int16)
         for i, r in enumerate(rows):
+            cols[at[i] : at[i + 1]] = np.searchsorted(names, r)
             hist[i] = np.bincount((r >> np.uint64(20)).astype(np.int64) % FINE, minlength=FINE)
+        mark = np.zeros(len(names), bool)
+        del rows, names
 
         def near(i, rest):
             """One row of the product with the rows in rest: its overlap counts, less those out of size-derived bounds."""
-            both = n[i] + n[rest]
-            fit = np.abs(hist[rest] - hist[i]).sum(1) <= both - 2 * least_overlap(n[i], n[rest], percent)
-            out = np.zeros(len(rest), bool)
-            some = rest[fit]
-            if len(some):
-                own = cols[at[i] : at[i + 1]]
-                mark[own] = True
-                take = np.repeat(at[some], n[some]) + np.arange(n[some].sum()) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
-                overlap = np.add.reduceat(mark[cols[take]].astype(np.int32), np.concatenate([[0], np.cumsum(n[some])[:-1]]))
-                mark[own] = False
-                out[fit] = overlap >= least_overlap(n[i], n[some], percent)
+            fit = []
+            for part in np.array_split(rest, -(-len(rest) * FINE // BLOCK)):
+                fit.append(np.abs(hist[part] - hist[i]).sum(1) <= n[i] + n[part] - 2 * least_overlap(n[i], n[part], percent))
+            out = np.concatenate(fit)
+            some = np.flatnonzero(out)
+            own = cols[at[i] : at[i + 1]]
+            mark[own] = True
+            ends = np.cumsum(n[rest[some]])
+            for part in np.split(some, np.flatnonzero(np.diff(ends // BLOCK)) + 1) if len(some) else ():
+                which = rest[part]
+                m = n[which]
+                starts = np.cumsum(m) - m
+                take = np.repeat(at[which] - starts, m) + np.arange(m.sum())
+                overlap = np.add.reduceat(mark[cols[take]], starts, dtype=np.int32)
+                out[part] = overlap >= least_overlap(n[i], m, percent)
+            mark[own] = False
             return out
 
         return [(int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))) for i, j in _forest(len(ids), near)]
