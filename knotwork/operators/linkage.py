@@ -13,7 +13,8 @@ RAREST, CAP, POOL, KEPT = 8, 500, 100, 10
 
 def _pairs_of(x: str, prefix: str) -> Column:
     w = T.words(x)
-    return F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.lit(prefix), F.get(w, i), F.lit("_"), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    pairs = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(F.lit(prefix), a, F.lit("_"), b))
+    return F.filter(pairs, lambda p: p.isNotNull())  # the last word has no next
 
 
 def tokens(records: DataFrame) -> DataFrame:

@@ -9,12 +9,12 @@ from ..functions import text as T
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records: language as country, first line as name, what follows in 300 characters as address; src 0 is the reference."""
+    """Documents as records: language as country, first line as name, all that follows as address; src 0 is the reference."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     t = F.coalesce("text", F.lit(""))
     head = F.substring_index(t, "\n", 1)
     return d.select(
-        F.col("doc_id").alias("rec_id"), (F.col("doc_id") % 3).cast("int").alias("src"), F.col("lang").alias("country"), head.alias("raw_name"), F.substring(t, F.length(head) + 2, F.lit(300)).alias("raw_addr")
+        F.col("doc_id").alias("rec_id"), (F.col("doc_id") % 3).cast("int").alias("src"), F.col("lang").alias("country"), head.alias("raw_name"), F.substr(t, F.length(head) + 2).alias("raw_addr")
     )
 
 
