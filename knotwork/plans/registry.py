@@ -110,11 +110,12 @@ def _similar(spark, sf):
 
 
 def _rerank(spark, sf):
-    """Candidates ordered by token-set similarity of names and addresses, then by their sums."""
-    n = R.normalized(spark, sf).select("rec_id", "core", "addr")
-    c = _cand(spark, sf).drop("rank").join(n.toDF("o", "co", "ao"), "o").join(n.toDF("s", "cs", "as"), "s")
+    """The pool of best sums, ordered by token-set similarity of names and addresses, then by its sums."""
+    r = R.normalized(spark, sf)
+    n = r.select("rec_id", "core", "addr")
+    c = L.candidates(r, kept=L.POOL).drop("rank").join(n.toDF("o", "co", "ao"), "o").join(n.toDF("s", "cs", "as"), "s")
     scored = c.select("o", "s", "tok", (S.token_set_of("co", "cs") + S.token_set_of("ao", "as")).alias("rs"))
-    return L.ranked(scored, 5, F.desc("rs"))
+    return L.ranked(scored, L.KEPT, F.desc("rs"))
 
 
 def _features(spark, sf):
