@@ -16,11 +16,12 @@ from ..sources import tables
 from . import records as R
 from . import keyed, scoring
 
+#: The cap of the SQL below only; the queries run with the operators' own.
 CAP = 50
 
 
 def _cand(spark, sf):
-    return L.candidates(R.normalized(spark, sf), CAP)
+    return L.candidates(R.normalized(spark, sf))
 
 
 def _best(spark, sf):
@@ -33,7 +34,7 @@ def _postings(spark, sf):
 
 def _idf(spark, sf):
     r = R.normalized(spark, sf)
-    return L.frequencies(L.tokens(r.where("src = 0")), F.lit(r.where("src = 0").count()), CAP)
+    return L.frequencies(L.tokens(r.where("src = 0")), F.lit(r.where("src = 0").count()))
 
 
 def _numbers(spark, sf):
