@@ -4,8 +4,9 @@ The base patterns are matched in time linear in the text. The network is trained
 with a fixed seed (forms the patterns miss: bracketed e-mail addresses, telephone numbers without a plus sign, 13- to
 15-digit cards). It reads overlapping windows of WIDTH characters; the emissions of windows that overlap are averaged
 by their distance from the window's edge, and one Viterbi pass over each stretch of windows gives its tags, so a span
-that crosses windows is decided once. Every span that the network may add has a digit or "@" (`plausible` asks for
-them), so only windows with one of those, and their neighbours, are read: leaving the others out changes nothing.
+that crosses windows is decided once. Every span that the network may add has a digit, "@" or a written at and dot sign
+(`plausible` asks for them), so only the windows that a name and host around one of those touch, and their neighbours,
+are read. An e-mail address is cut out of what the network marked by its format.
 Base spans stay; an added span never overlaps one.
 
 Defined results: null and empty texts have no spans; rows that repeat a doc_id are read one by one; an empty table
@@ -35,7 +36,12 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_HINT = re.compile(r"[0-9@]")
+_HINT = re.compile(r"[0-9]|@|[\[(](?:at|dot)[\])]| at (?=[\w-]+ dot )| dot ", re.IGNORECASE)
+_DOT = r"(?: ?(?:\.|\[dot\]|\(dot\)) ?| dot )"
+#: " at " only with " dot "; "." without spaces where an address is cut out of a longer stretch.
+_SPELT = r"(?:[\w.%+-]++ at [\w-]++(?: dot [\w-]++)+)"
+_EMAIL = re.compile(rf"{_SPELT}|[\w.%+-]+ ?(?:@|\[at\]|\(at\)) ?[\w-]+(?:{_DOT}[\w-]+)+", re.IGNORECASE)
+_INSIDE = re.compile(rf"(?<![\w.%+-])(?:{_SPELT}|[\w.%+-]++ ?(?:@|\[at\]|\(at\)) ?[\w-]++(?:(?:\.| ?(?:\[dot\]|\(dot\)) ?| dot )[\w-]++)+)", re.IGNORECASE)
 Span = tuple[int, int, int]
 
 
@@ -228,7 +234,8 @@ def example(rng: np.random.Generator) -> tuple[str, list[Span]]:
         return next(body + str(c) for c in range(10) if luhn(body + str(c)))
 
     def email():
-        name, host = f"{word()}.{digits(2)}" if rng.random() < 0.5 else word(), f"{word()}{rng.integers(1, 9)}.{rng.choice(['com', 'org', 'net', 'example.com'])}"
+        name = word() + ["", f".{digits(2)}", f".{word()}"][rng.integers(3)]
+        host = f"{word()}{rng.integers(1, 9) if rng.random() < 0.5 else ''}.{rng.choice(['com', 'org', 'net', 'example.com'])}"
         at, dot = [("@", "."), (" @ ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot ")][rng.choice(5, p=[0.4, 0.2, 0.15, 0.15, 0.1])]
         return name + at + host.replace(".", dot)
 
@@ -245,7 +252,7 @@ def example(rng: np.random.Generator) -> tuple[str, list[Span]]:
         return ".".join(map(str, rng.integers(0, 256, 4)))
 
     def decoy():
-        return [digits(int(rng.integers(1, 7))), f"{rng.integers(1, 30)}.{rng.integers(0, 30)}.{rng.integers(0, 30)}", "".join(rng.choice(list("0123456789abcdef"), 40)), f"{rng.integers(1900, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", f"{digits(2)},{digits(3)}.{digits(2)}", f"Version {rng.integers(1, 9)}.0", f"@{word()}"][rng.integers(7)]
+        return [digits(int(rng.integers(1, 7))), f"{rng.integers(1, 30)}.{rng.integers(0, 30)}.{rng.integers(0, 30)}", "".join(rng.choice(list("0123456789abcdef"), 40)), f"{rng.integers(1900, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", f"{digits(2)},{digits(3)}.{digits(2)}", f"Version {rng.integers(1, 9)}.0", f"@{word()}", f"{word()} at {word()}", f"{word()} (at) {word()}", f"{word()} dot {word()}"][rng.integers(10)]
 
     text, spans = "", []
     makers = (email, ip, number_card, phone)
@@ -325,7 +332,7 @@ def plausible(kind: int, text: str) -> bool:
     """What a span must have to be added, whatever the network says."""
     d = _digits(text)
     if kind == 0:
-        return bool(re.fullmatch(r"[\w.%+-]+ ?(?:@|\[at\]|\(at\)) ?[\w-]+(?: ?(?:\.|\[dot\]|\(dot\)) ?[\w-]+)+", text)) and bool(_HINT.search(text))
+        return bool(_EMAIL.fullmatch(text))
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", text)) and all(int(p) < 256 for p in text.split("."))
     if kind == 2:
@@ -333,9 +340,23 @@ def plausible(kind: int, text: str) -> bool:
     return bool(re.fullmatch(r"(?:00[0-9]{1,3} |\+[0-9]{1,3} )?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", text))
 
 
+def _reach(text: str, m: re.Match) -> tuple[int, int]:
+    """The stretch of a digit, or of a sign with the name before it and the label after it."""
+    s, e = m.span()
+    if not text[s].isdigit():
+        s -= s > 0 and text[s - 1] == " "
+        while s > 0 and (text[s - 1].isalnum() or text[s - 1] in "_.%+-"):
+            s -= 1
+        e += text[e : e + 1] == " "
+        while e < len(text) and (text[e].isalnum() or text[e] in "_.-"):
+            e += 1
+    return s, e
+
+
 def _windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of text that windows must read: the cells of STRIDE characters with a digit or "@", and one on each side."""
-    cells = sorted({c for m in _HINT.finditer(text) for c in (m.start() // STRIDE - 1, m.start() // STRIDE, m.start() // STRIDE + 1) if c >= 0})
+    """Stretches of text that windows must read: the cells of STRIDE characters with a hint's reach, and one on each side."""
+    reach = {(s // STRIDE, (e - 1) // STRIDE) for s, e in (_reach(text, m) for m in _HINT.finditer(text))}
+    cells = sorted({c for a, b in reach for c in range(max(0, a - 1), b + 2)})
     out: list[tuple[int, int]] = []
     for c in cells:
         s, e = c * STRIDE, min(len(text), (c + 1) * STRIDE)
@@ -381,6 +402,9 @@ def tagged(model: Tagger, texts: list[str], group: int = 2048) -> list[list[Span
                 weight[j][w : w + m] += _WEIGHT[:m, None]
         for (i, s, _), a, b in zip(some, score, weight, strict=True):
             for kind, x, y in _spans_of(viterbi(model.params[9], model.params[10], a / b)):
+                if kind == 0 and not plausible(0, texts[i][s + x : s + y].strip(" ")):
+                    found[i] += _cut_out(texts[i], s + x, s + y)
+                    continue
                 piece = texts[i][s + x : s + y]
                 x += len(piece) - len(piece.lstrip(" "))
                 piece = piece.strip(" ")
@@ -389,6 +413,15 @@ def tagged(model: Tagger, texts: list[str], group: int = 2048) -> list[list[Span
     return found
 
 
+def _cut_out(text: str, s: int, e: int) -> list[Span]:
+    """The e-mail addresses in whole words of a marked stretch."""
+    while s > 0 and (text[s - 1].isalnum() or text[s - 1] in "_.%+-"):
+        s -= 1
+    while e < len(text) and (text[e].isalnum() or text[e] in "_-"):
+        e += 1
+    return [(0, s + m.start(), s + m.end()) for m in _INSIDE.finditer(text[s:e]) if not _glued(text, s + m.start(), s + m.end())]
+
+
 def _glued(text: str, s: int, e: int) -> bool:
     """A span that is a part of a longer word or number."""
     return (s > 0 and text[s - 1].isalnum()) or (e < len(text) and text[e].isalnum())
