@@ -3,7 +3,8 @@
 Statistics of whole texts are computed in one projection, inside the row. They are transformed to near-normal axes, and
 for each language and source the minimum-covariance-determinant estimate is found by concentration steps: start from
 medians and absolute deviations, keep the SUPPORT share of rows nearest in Mahalanobis distance, take their mean and
-covariance, repeat. A group of under LEAST rows uses its language's estimate, and a small language that of all rows.
+covariance, repeat. A group of under LEAST rows uses its language's estimate, and a small language that of all rows; both
+are made from all their rows, those of large sources included.
 Documents beyond CUTOFF squared distances on the side of more symbols, repeats, capitals or odd words go; being long or
 short or unusually clean is no reason. Groups are never gathered: every step is a grouped aggregate of sums and bounded
 quantile sketches, so a source with a third of all rows is reduced map-side first.
@@ -91,6 +92,15 @@ def _levels(rows: DataFrame, least: int) -> DataFrame:
     return rows.join(small, rows["lang"].eqNullSafe(small["l"]) & rows["source"].eqNullSafe(small["s"])).drop("l", "s")
 
 
+def _pools(rows: DataFrame) -> DataFrame:
+    """AXES of the rows of every group in use: a source's own rows, for (lang, '*') all of the language, for ('*', '*') all."""
+    every = F.lit("*")
+    level = lambda g, s: F.struct(g.alias("g_lang"), s.alias("g_source"))
+    levels = F.array_distinct(F.array(level(F.col("g_lang"), F.col("g_source")), level(F.col("g_lang"), every), level(every, every)))
+    used = sized(rows.select("g_lang", "g_source").distinct())
+    return rows.select(*AXES, F.explode(levels).alias("g")).select(*AXES, "g.*").join(used, ["g_lang", "g_source"], "left_semi")
+
+
 def _factor(estimate: DataFrame) -> DataFrame:
     """Cholesky factors l_i_j of the covariances c_i_j, column by column."""
     d = len(AXES)
@@ -128,10 +138,11 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 
 def mcd(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
-    """Centre and Cholesky factor of every group (g_lang, g_source) of rows."""
+    """Centre and Cholesky factor of every group (g_lang, g_source) of rows, from all rows of its level."""
     d = len(AXES)
+    rows = _pools(rows)
     middle = rows.groupBy("g_lang", "g_source").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m_{i}") for i, x in enumerate(AXES)])
-    away = rows.join(middle, ["g_lang", "g_source"]).groupBy("g_lang", "g_source").agg(
+    away = rows.join(sized(middle), ["g_lang", "g_source"]).groupBy("g_lang", "g_source").agg(
         *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 10000).alias(f"a_{i}") for i, x in enumerate(AXES)]
     )
     start = away.select("g_lang", "g_source", *[f"m_{i}" for i in range(d)], *[((F.col(f"a_{i}") * 1.4826) ** 2 + FLOOR[AXES[i]] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for j in range(d) for i in range(j, d)])
@@ -139,7 +150,7 @@ def mcd(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFr
     for _ in range(steps):
         far = _distances(rows, now).select("g_lang", "g_source", *AXES, "d2")
         edge = far.groupBy("g_lang", "g_source").agg(F.percentile_approx("d2", support, 10000).alias("edge"))
-        now = written(_factor(_moments(far.join(edge, ["g_lang", "g_source"]).where("d2 <= edge"))))
+        now = written(_factor(_moments(far.join(sized(edge), ["g_lang", "g_source"]).where("d2 <= edge"))))
     return now
 
 
