@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,10 +22,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one is made for a master on
+    this machine alone; on a cluster that would lose rows, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="knotwork-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(f"/tmp/knotwork-{uuid.uuid4().hex}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -63,8 +68,29 @@ def _plain(column: pa.Array):
     return column.to_pylist()
 
 
-def _join(a, b):
-    return np.concatenate([a, b]) if isinstance(a, np.ndarray) else a + b
+def _joined(parts: list):
+    if len(parts) == 1:
+        return parts[0]
+    return np.concatenate(parts) if isinstance(parts[0], np.ndarray) else [x for p in parts for x in p]
+
+
+def released(run: Callable) -> Callable:
+    """A function for mapInArrow whose worker gives what it no longer needs back to the system when the task ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def grouped(df: DataFrame, keys: list[str], fn: Callable[[dict], list[tuple] | None], schema: str, order: tuple[str, ...] = ()) -> DataFrame:
@@ -76,35 +102,42 @@ def grouped(df: DataFrame, keys: list[str], fn: Callable[[dict], list[tuple] | N
     out = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in _struct(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict | None = None
+        held: list[dict] = []  # the pieces of the group that is open
+        mark: tuple | None = None
         rows: list[tuple] = []
 
         def emit():
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
+        def close():
+            whole = {n: _joined([p[n] for p in held]) for n in names}
+            held.clear()
+            rows.extend(fn(whole) or ())
+
         for b in batches:
             if not b.num_rows:
                 continue
             cols = {n: _plain(b.column(i)) for i, n in enumerate(names)}
-            if held is not None:
-                cols = {n: _join(held[n], cols[n]) for n in names}
             n = len(cols[keys[0]])
             change = np.zeros(n - 1, bool)
             for k in keys:
                 change |= cols[k][1:] != cols[k][:-1]
-            edges = np.concatenate([[0], np.flatnonzero(change) + 1])
-            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                rows.extend(fn({m: c[s:e] for m, c in cols.items()}) or ())
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), n]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                here = tuple(cols[k][s] for k in keys)
+                if held and here != mark:
+                    close()
+                held.append({m: c[s:e] for m, c in cols.items()})
+                mark = here
                 if len(rows) >= 5000:
                     yield emit()
                     rows = []
-            held = {m: c[edges[-1] :] for m, c in cols.items()}
-        if held is not None:
-            rows.extend(fn(held) or ())
+        if held:
+            close()
         if rows:
             yield emit()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(released(run), schema)
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}

@@ -14,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is handled alone, whole.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+#: Words whose windows are hashed at once: bounds the table of powers.
+RUN = 1 << 16
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -22,21 +24,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n (base is odd)."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n).bit_length())
-        both = []
-        for b in (base, pow(base, -1, 2**64)):
-            a = np.full(size, b, U)
-            a[0] = 1
-            both.append(np.multiply.accumulate(a))
-        have = _powers[base] = (both[0], both[1])
-    return have[0][:n], have[1][:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    a = np.full(n, base % 2**64, U)
+    a[0] = 1
+    return np.multiply.accumulate(a)
+
+
+#: base^i for places in a word: i = 256 * high + low, so a word may have 2^24 bytes before its powers repeat.
+_LOW, _HIGH = _powers(_BASE, 256), _powers(pow(_BASE, 256, 2**64), 1 << 16)
+_UP, _DOWN = _powers(_STEP, 2 * RUN), _powers(pow(_STEP, -1, 2**64), 2 * RUN)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -82,10 +80,16 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = powers(_BASE, len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    """Hash of each word: a polynomial of its bytes, mixed with its length."""
+    if not len(starts):
+        return np.zeros(0, U)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+    value = _BYTE[data[place + np.repeat(starts, sizes)]] * _LOW[place & 255]
+    if sizes.max() > 256:
+        value *= _HIGH[(place >> 8) & 0xFFFF]
+    return mix(np.add.reduceat(value, first) + sizes.astype(U))
 
 
 def window_hashes(words: np.ndarray, ranges: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +97,17 @@ def window_hashes(words: np.ndarray, ranges: np.ndarray, k: int) -> tuple[np.nda
     counts = np.maximum(np.diff(ranges) - (k - 1), 0)
     where = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=where[1:])
-    up, down = powers(_STEP, len(words) + 1)
-    total = np.zeros(len(words) + 1, U)
-    np.cumsum(words * up[: len(words)], out=total[1:])
     at = np.repeat(ranges[:-1] - where[:-1], counts) + np.arange(where[-1])
-    return mix((total[at + k] - total[at]) * down[at] + U(k)), where
+    out = np.empty(len(at), U)
+    cuts = np.searchsorted(at, np.arange(0, len(words) + RUN, RUN))
+    for r, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if e > s:
+            some = words[r * RUN : r * RUN + RUN + k]
+            total = np.zeros(len(some) + 1, U)
+            np.cumsum(some * _UP[: len(some)], out=total[1:])
+            here = at[s:e] - r * RUN
+            out[s:e] = (total[here + k] - total[here]) * _DOWN[here]
+    return mix(out + U(k)), where
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
