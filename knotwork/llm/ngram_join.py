@@ -11,9 +11,13 @@
    Only a spanning forest of each block is emitted: components and links between components are whole without listing
    all pairs of a group. Groups over a tile are split into pairs of tiles.
 
-Set equality and overlaps are of 64-bit hashes. Defined results: null and empty texts have an empty set and link with
-nothing; fewer words than n form one shingle; rows that repeat a doc_id are one more copy; an empty table gives an
-empty result; further columns are ignored.
+Rows are named by a hash of doc_id and text, so rows that share a doc_id (or have none) are kept apart and repeated rows
+are one. Doc_ids come in at the end: a component is named by its smallest doc_id that is not null.
+
+Set equality, rows and overlaps are told by 64-bit hashes. Defined results: null and empty texts have an empty set and
+link with nothing, their component is their own doc_id; fewer words than n form one shingle; repeated rows get the same
+verdict; a component of rows without doc_id has none; rows of one doc_id may be in different components; one very long
+text is one set, whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, grouped, read, sized, small_batches, written
+from .common import connected_components, grouped, read, released, sized, small_batches, written
 from .words import LOWER, shingle_sets, text_slices
 
 #: Buckets of the frequency table: its size does not depend on the data.
@@ -57,7 +61,7 @@ def frequency_levels(docs: DataFrame, text: str, n: int) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["bucket", "n"])
 
-    got = docs.select(text).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select(text).mapInArrow(released(count), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(1 << COUNT_BITS)
     total[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     mean = max(1.0, total.mean())
@@ -69,14 +73,14 @@ def buckets_for(percent: int) -> int:
 
 
 def profiles(docs: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
-    """doc_id, set size, two digests of the set, its histogram and its indexed shingles."""
+    """doc_id, row name, set size, two digests of the set, its histogram and its indexed shingles."""
     levels = frequency_levels(docs, text, n)
     width = buckets_for(percent)
 
     def run(batches):
         for b in batches:
-            ids = b.column(0)
-            for first, h, at in _sets(b.column(1), n):
+            ids, names = b.column(0), b.column(1)
+            for first, h, at in _sets(b.column(2), n):
                 sizes = np.diff(at)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 bucket = row * width + (h >> np.uint64(20)).astype(np.int64) % width
@@ -92,16 +96,23 @@ def profiles(docs: DataFrame, text: str, key: str, n: int, percent: int) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, len(sizes)),
+                        names.slice(first, len(sizes)),
                         pa.array(sizes.astype(np.int64)),
                         pa.array((run_sum[at[1:]] - run_sum[at[:-1]]).astype(np.int64)),
                         pa.array((run_mix[at[1:]] - run_mix[at[:-1]]).astype(np.int64)),
                         pa.array([hist[i * width : i * width + width] for i in range(len(sizes))], pa.binary()),
                         lists,
                     ],
-                    ["doc_id", "n", "d1", "d2", "hist", "index"],
+                    ["doc_id", "row", "n", "d1", "d2", "hist", "index"],
                 )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, hist binary, index array<bigint>")
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), _row(text, key).alias("row"), text)
+    return named.mapInArrow(released(run), "doc_id bigint, row bigint, n bigint, d1 bigint, d2 bigint, hist binary, index array<bigint>")
+
+
+def _row(text: str, key: str) -> Column:
+    """A row's name: null and 0 as doc_id differ, and so do null and empty texts."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(key).isNull(), F.col(text))
 
 
 def least_overlap(a, b, percent: int):
@@ -145,13 +156,14 @@ def _candidates(percent: int):
 
 def _links(k: int, percent: int):
     def run(g: dict) -> list[tuple]:
-        sets = [h[s:e] for _, h, at in _sets(pa.array(g.pop("text"), pa.string()), k) for s, e in zip(at[:-1], at[1:], strict=True)]
-        same = np.flatnonzero(np.array([len(x) for x in sets]) == g["n"])  # else another row of this doc_id
-        ids, first = np.unique(g["rep"][same], return_index=True)
+        ids, first = np.unique(g["rep"], return_index=True)
         if len(ids) < 2:
             return []
-        rows = [sets[i] for i in same[first].tolist()]
-        del sets
+        texts = g.pop("text")
+        chosen = pa.array([texts[i] for i in first.tolist()], pa.string())
+        del texts
+        rows = [h[s:e] for _, h, at in _sets(chosen, k) for s, e in zip(at[:-1], at[1:], strict=True)]
+        del chosen
         n = np.array([len(r) for r in rows])
         at = np.concatenate([[0], np.cumsum(n)])
         names = np.concatenate(rows)
@@ -161,7 +173,7 @@ def _links(k: int, percent: int):
         hist = np.empty((len(rows), FINE), np.int16)
         for i, r in enumerate(rows):
             cols[at[i] : at[i + 1]] = np.searchsorted(names, r)
-            hist[i] = np.bincount((r >> np.uint64(20)).astype(np.int64) % FINE, minlength=FINE)
+            hist[i] = np.minimum(np.bincount((r >> np.uint64(20)).astype(np.int64) % FINE, minlength=FINE), 32767)  # capped counts only lower the distance
         mark = np.zeros(len(names), bool)
         del rows, names
 
@@ -209,10 +221,16 @@ def _tiled(rows: DataFrame, key: str, weight: Column, tile: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 3, percent: int = 90, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    return _components(docs, text, key, n, percent, tile, tile_shingles).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, text: str, key: str, n: int, percent: int, tile: int, tile_shingles: int) -> DataFrame:
+    """One row per document: doc_id, row, n_shingles, component_id, and the row of the component's first document."""
     small_batches(docs.sparkSession)
     all_rows = written(profiles(docs, text, key, n, percent))
-    best = F.min(F.struct("doc_id", "hist", "index"))
-    classes = written(all_rows.where("n > 0").groupBy("d1", "d2", "n").agg(best.alias("r")).select("d1", "d2", "n", F.col("r.doc_id").alias("rep"), F.col("r.hist").alias("hist"), F.col("r.index").alias("index")))
+    best = F.min(F.struct("row", "hist", "index"))
+    grouped_sets = all_rows.where("n > 0").groupBy("d1", "d2", "n").agg(best.alias("r"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("doc"))
+    classes = written(grouped_sets.select("d1", "d2", "n", "doc", F.col("r.row").alias("rep"), F.col("r.hist").alias("hist"), F.col("r.index").alias("index")))
 
     # Of the classes that share a shingle, those whose next smaller or next larger one is within the size bound.
     by_size = Window.partitionBy("h").orderBy("n", "rep")
@@ -224,18 +242,26 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
     # Candidates' texts go to their tiles in one shuffle, and their sets are made again there: smaller than sets of all documents.
     wanted = written(label.join(classes.select("rep", "n"), F.col("node") == F.col("rep")).select("component", "rep", "n"))
-    tiles = sized(_tiled(wanted, "component", F.col("n") + FINE // 4, tile_shingles).select("component", "i", "j", "rep", "n"))
-    rows = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(text, F.lit("")).alias("text")).join(tiles, "rep").select("component", "i", "j", "rep", "n", "text")
+    tiles = _tiled(wanted, "component", F.col("n") + FINE // 4, tile_shingles).select("component", "i", "j", "rep", "n")
+    named = docs.select(_row(text, key).alias("rep"), F.coalesce(text, F.lit("")).alias("text"))
+    once = named.join(sized(wanted.select("rep")), "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text"))  # repeated rows meet here, one from each task
+    rows = once.join(tiles, "rep").select("component", "i", "j", "rep", "text")
     links = grouped(rows, ["component", "i", "j"], _links(n, percent), "u bigint, v bigint")
     linked = connected_components(links)
-    named_classes = classes.join(linked, classes["rep"] == linked["node"], "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
-    return all_rows.select("doc_id", "n", "d1", "d2").join(named_classes, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id; columns as they are. A null doc_id stays."""
-    gone = jaccard_components(docs.where("doc_id is not null"), n=n, percent=percent, tile_shingles=TILE_SHINGLES // 2).where("component_id <> doc_id").select("doc_id")
-    return docs.join(sized(gone), "doc_id", "left_anti").select(docs.columns)
+    placed = classes.select("d1", "d2", "n", "doc", "rep").join(linked, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    named_components = placed.groupBy("component").agg(F.min("doc").alias("head"))
+    of_class = placed.join(named_components, "component").select("d1", "d2", "n", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head"))
+    out = all_rows.select("doc_id", "row", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left")
+    linked_to = lambda name, own: F.when(F.col("n") > 0, F.col(name)).otherwise(F.col(own)).alias(name)
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), linked_to("component_id", "doc_id"), linked_to("head", "row"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
+    """Of each component the document with the smallest doc_id (none last; of several rows of it, the one with the
+    smallest hash), repeats of that row included; documents without words stay; columns as they are."""
+    gone = _components(docs, text, key, n, percent, TILE, TILE_SHINGLES // 2).where("head <> row").select(F.col("row").alias("_row")).distinct()
+    gone = sized(gone)
+    return docs.join(gone, _row(text, key) == gone["_row"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ left at the end of a pool is cut along the powers of two. Every window is full,
 to step groups of about equal ids.
 
 Packing is local to a partition and needs no shuffle; a pool holds at most POOL ids, so memory is bounded. Defined
-results: null and empty texts are one end id; rows that repeat a doc_id are packed one by one; an empty table gives an
-empty result; further columns are ignored.
+results: null and empty texts are one end id; a text longer than a pool makes a pool of its own, whole; rows that repeat
+a doc_id (or have none) are packed one by one; rests of one length are taken in the order they came, last first; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
-from .tokens import BYTE_TOKENIZER, batches_of, encoder, tokenizer_path
+from .common import read, released, small_batches
+from .tokens import BYTE_TOKENIZER, CACHE, batches_of, encoder, tokenizer_path
 
 LONGEST = 1024
 POOL = 4_000_000
@@ -104,7 +105,7 @@ _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 _NAMES = [c.split()[0] for c in _PIECE.split(", ")]
 
 
-def packed(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: str = "doc_id", longest: int = LONGEST) -> DataFrame:
+def packed(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: str = "doc_id", longest: int = LONGEST, cache: int = CACHE) -> DataFrame:
     """One row a piece; sequence_id counts from the partition's number times 2^33, offset is the piece's place there."""
     small_batches(docs.sparkSession)
 
@@ -112,7 +113,7 @@ def packed(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: st
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 33
-        model = encoder(path)
+        model = encoder(path, cache)
         groups = first
         keys: list = []
         coded: list[bytes] = []
@@ -150,7 +151,7 @@ def packed(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: st
                         yield from flush()
         yield from flush()
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, _PIECE)
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(released(run), _PIECE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,19 +3,21 @@
 The base patterns are matched in time linear in the text. The network is trained on labelled spans that are generated
 with a fixed seed (forms the patterns miss: bracketed e-mail addresses, telephone numbers without a plus sign, 13- to
 15-digit cards). It reads overlapping windows of WIDTH characters; the emissions of windows that overlap are averaged
-by their distance from the window's edge, and one Viterbi pass over each stretch of windows gives its tags, so a span
-that crosses windows is decided once. Every span that the network may add has a digit, "@" or a written at and dot sign
-(`plausible` asks for them), so only the windows that a name and host around one of those touch, and their neighbours,
-are read. An e-mail address is cut out of what the network marked by its format.
-Base spans stay; an added span never overlaps one.
-
-Defined results: null and empty texts have no spans; rows that repeat a doc_id are read one by one; an empty table
-gives an empty result; further columns are ignored.
+by their distance from the window's edge, and one Viterbi pass over the text gives its tags, so a span that crosses
+windows is decided once. An added span has a digit, "@" or a written at and dot sign (`plausible` asks for a format with
+one), so characters that the name or host around such a sign, with a margin, does not reach are tagged as none; windows
+over them only are not read, which changes nothing. An e-mail address is cut out of what the network marked by its
+format. Base spans stay; an added span never overlaps one.
+
+Defined results: null and empty texts have no spans; rows that repeat a doc_id or have none are read one by one; one very
+long text is read whole, a run of windows at a time; of added spans that overlap each other the one that starts first
+stays, then the shorter, then the kind listed first; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import read, released, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, STRIDE = 96, 48
-HIDDEN, EMBED, STEPS, BATCH, SEED = 20, 12, 260, 48, 7
+HIDDEN, EMBED, STEPS, BATCH, SEED = 20, 12, 420, 48, 7
 _RUN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -37,11 +39,11 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HINT = re.compile(r"[0-9]|@|[\[(](?:at|dot)[\])]| at (?=[\w-]+ dot )| dot ", re.IGNORECASE)
-_DOT = r"(?: ?(?:\.|\[dot\]|\(dot\)) ?| dot )"
-#: " at " only with " dot "; "." without spaces where an address is cut out of a longer stretch.
+#: " at " only with " dot "; a plain "." without spaces.
 _SPELT = r"(?:[\w.%+-]++ at [\w-]++(?: dot [\w-]++)+)"
-_EMAIL = re.compile(rf"{_SPELT}|[\w.%+-]+ ?(?:@|\[at\]|\(at\)) ?[\w-]+(?:{_DOT}[\w-]+)+", re.IGNORECASE)
-_INSIDE = re.compile(rf"(?<![\w.%+-])(?:{_SPELT}|[\w.%+-]++ ?(?:@|\[at\]|\(at\)) ?[\w-]++(?:(?:\.| ?(?:\[dot\]|\(dot\)) ?| dot )[\w-]++)+)", re.IGNORECASE)
+_SIGNED = r"[\w.%+-]++ ?(?:@|\[at\]|\(at\)) ?[\w-]++(?:(?:\.| ?(?:\[dot\]|\(dot\)) ?| dot )[\w-]++)+"
+_EMAIL = re.compile(rf"{_SPELT}|{_SIGNED}", re.IGNORECASE)
+_INSIDE = re.compile(rf"(?<![\w.%+-])(?:{_SPELT}|{_SIGNED})", re.IGNORECASE)
 Span = tuple[int, int, int]
 
 
@@ -233,10 +235,20 @@ def example(rng: np.random.Generator) -> tuple[str, list[Span]]:
         body = digits(n - 1)
         return next(body + str(c) for c in range(10) if luhn(body + str(c)))
 
+    def label(low=2, high=9):
+        """A made-up label of letters, sounding or not."""
+        if rng.random() < 0.5:
+            return word().lower()
+        return "".join(rng.choice(list("aeiou" if i % 2 and rng.random() < 0.8 else "abcdefghijklmnopqrstuvwxyz")) for i in range(int(rng.integers(low, high))))
+
     def email():
-        name = word() + ["", f".{digits(2)}", f".{word()}"][rng.integers(3)]
-        host = f"{word()}{rng.integers(1, 9) if rng.random() < 0.5 else ''}.{rng.choice(['com', 'org', 'net', 'example.com'])}"
-        at, dot = [("@", "."), (" @ ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot ")][rng.choice(5, p=[0.4, 0.2, 0.15, 0.15, 0.1])]
+        name = label() if rng.random() < 0.7 else word()
+        name += ["", "", f".{digits(2)}", digits(int(rng.integers(1, 4))), f"{rng.choice(list('._-'))}{label(1, 9)}"][rng.integers(5)]
+        if rng.random() < 0.15:
+            name = f"{label(1, 2)[:1]}.{name}"
+        host = label() + ["", "", f"{rng.integers(1, 99)}", f"-{label()}", f".{label()}"][rng.integers(5)]
+        host += f".{rng.choice(['com', 'org', 'net', 'example.com', 'de', 'fr', 'es', 'io', 'co.uk', 'info', label(2, 4)])}"
+        at, dot = [("@", "."), (" @ ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot ")][rng.choice(5, p=[0.2, 0.15, 0.23, 0.22, 0.2])]
         return name + at + host.replace(".", dot)
 
     def phone():
@@ -280,7 +292,7 @@ def _tags(spans: list[Span], n: int) -> np.ndarray:
 
 
 def train(steps: int = STEPS, seed: int = SEED) -> Tagger:
-    """Adam on generated lines; about ten seconds on one core."""
+    """Adam on generated lines; about twenty seconds on one core."""
     rng = np.random.default_rng(seed)
     f = lambda *s: (rng.standard_normal(s) * 0.15).astype(np.float32)
     bias = np.zeros(4 * HIDDEN, np.float32)
@@ -302,18 +314,23 @@ def train(steps: int = STEPS, seed: int = SEED) -> Tagger:
     return Tagger(p)
 
 
-def viterbi(move: np.ndarray, first: np.ndarray, s: np.ndarray) -> np.ndarray:
-    n, k = s.shape
-    back = np.zeros((n, k), np.int64)
+def viterbi(move: np.ndarray, first: np.ndarray, last: np.ndarray, s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Best tags of many stretches at once: s is places by stretches by tags (padded to the longest), sizes their lengths,
+    first and last what each stretch's first and last tag add. Ties go to the lowest tag."""
+    n, m, k = s.shape
+    back = np.zeros((n, m, k), np.int8)
+    same = np.arange(k, dtype=np.int8)
     best = first + s[0]
     for t in range(1, n):
-        got = best[:, None] + move
-        back[t] = got.argmax(0)
-        best = got.max(0) + s[t]
-    tags = np.zeros(n, np.int64)
-    tags[-1] = best.argmax()
+        got = best[:, :, None] + move
+        live = (t < sizes)[:, None]
+        back[t] = np.where(live, got.argmax(1).astype(np.int8), same)
+        best = np.where(live, got.max(1) + s[t], best)
+    tags = np.zeros((n, m), np.int64)
+    tags[-1] = (best + last).argmax(1)
+    rows = np.arange(m)
     for t in range(n - 1, 0, -1):
-        tags[t - 1] = back[t, tags[t]]
+        tags[t - 1] = back[t, rows, tags[t]]
     return tags
 
 
@@ -353,15 +370,16 @@ def _reach(text: str, m: re.Match) -> tuple[int, int]:
     return s, e
 
 
-def _windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of text that windows must read: the cells of STRIDE characters with a hint's reach, and one on each side."""
+def _cells(text: str) -> list[int]:
+    """The cells of STRIDE characters that a hint's reach touches, and one on each side: no span may be added elsewhere."""
     reach = {(s // STRIDE, (e - 1) // STRIDE) for s, e in (_reach(text, m) for m in _HINT.finditer(text))}
-    cells = sorted({c for a, b in reach for c in range(max(0, a - 1), b + 2)})
+    return sorted({c for a, b in reach for c in range(max(0, a - 1), b + 2) if c * STRIDE < len(text)})
+
+
+def _stretches(text: str, cells: list[int]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for c in cells:
         s, e = c * STRIDE, min(len(text), (c + 1) * STRIDE)
-        if s >= e:
-            continue
         if out and out[-1][1] == s:
             out[-1] = (out[-1][0], e)
         else:
@@ -372,47 +390,84 @@ def _windows(text: str) -> list[tuple[int, int]]:
 _WEIGHT = np.minimum(np.arange(WIDTH) + 1, WIDTH - np.arange(WIDTH)).astype(np.float32)
 
 
-def tagged(model: Tagger, texts: list[str], group: int = 2048) -> list[list[Span]]:
-    """Plausible spans of the network in each text."""
+def tagged(model: Tagger, texts: list[str], group: int = 1024, everything: bool = False) -> list[list[Span]]:
+    """Plausible spans of the network in each text.
+
+    Window w covers the cells w and w + 1, so a cell is read by two windows. Outside of `_cells` every character is
+    tagged as none, so only windows over those cells matter, and each stretch of cells is decoded by itself between
+    characters of no tag. `everything` reads all windows of the text all the same (the result is the same: a test).
+    """
     found: list[list[Span]] = [[] for _ in texts]
-    work: list[tuple[int, int, int]] = [(i, s, e) for i, t in enumerate(texts) for s, e in _windows(t)]
     at = 0
-    while at < len(work):
+    todo = [(i, cells) for i, t in enumerate(texts) if (cells := _cells(t))]
+    while at < len(todo):
         some, n = [], 0
-        while at < len(work) and (not some or n < group):
-            some.append(work[at])
-            n += max(1, (work[at][2] - work[at][1]) // STRIDE)
+        while at < len(todo) and (not some or n < group):
+            some.append(todo[at])
+            n += len(todo[at][1]) + 1
             at += 1
-        places, rows = [], []
-        for j, (i, s, e) in enumerate(some):
-            coded = classes(texts[i][s:e])
-            for w in range(0, max(1, len(coded) - STRIDE), STRIDE):
-                row = np.zeros(WIDTH, np.int64)
-                piece = coded[w : w + WIDTH]
-                row[: len(piece)] = piece
-                places.append((j, w))
-                rows.append(row)
-        score = [np.zeros((e - s, TAGS), np.float32) for _, s, e in some]
-        weight = [np.zeros((e - s, 1), np.float32) for _, s, e in some]
-        for k in range(0, len(rows), group):
-            out = model.emissions(np.stack(rows[k : k + group]))
-            for r, (j, w) in enumerate(places[k : k + group]):
-                m = min(WIDTH, len(score[j]) - w)
-                score[j][w : w + m] += out[:m, r] * _WEIGHT[:m, None]
-                weight[j][w : w + m] += _WEIGHT[:m, None]
-        for (i, s, _), a, b in zip(some, score, weight, strict=True):
-            for kind, x, y in _spans_of(viterbi(model.params[9], model.params[10], a / b)):
-                if kind == 0 and not plausible(0, texts[i][s + x : s + y].strip(" ")):
-                    found[i] += _cut_out(texts[i], s + x, s + y)
-                    continue
-                piece = texts[i][s + x : s + y]
-                x += len(piece) - len(piece.lstrip(" "))
-                piece = piece.strip(" ")
-                if plausible(kind, piece) and not _glued(texts[i], s + x, s + x + len(piece)):
-                    found[i].append((kind, s + x, s + x + len(piece)))
+        _tag_some(model, texts, some, found, group, everything)
     return found
 
 
+def _tag_some(model: Tagger, texts: list[str], some: list[tuple[int, list[int]]], found: list[list[Span]], group: int, everything: bool) -> None:
+    work: list[tuple[int, int, int, int]] = []  # text, start, end, first row of its scores
+    places, rows, used = [], [], 0
+    slot: dict[tuple[int, int], int] = {}
+    for i, cells in some:
+        coded = classes(texts[i])
+        final = max(0, -(-len(coded) // STRIDE) - 2)
+        for s, e in _stretches(texts[i], cells):
+            work.append((i, s, e, used))
+            for c in range(s // STRIDE, -(-e // STRIDE)):
+                slot[i, c] = used + c * STRIDE - s
+            used += e - s
+        for w in range(final + 1) if everything else sorted({w for c in cells for w in (c - 1, c) if 0 <= w <= final}):
+            row = np.zeros(WIDTH, np.int64)
+            piece = coded[w * STRIDE : w * STRIDE + WIDTH]
+            row[: len(piece)] = piece
+            places.append((i, w, len(piece)))
+            rows.append(row)
+    score, weight = np.zeros((used, TAGS), np.float32), np.zeros((used, 1), np.float32)
+    for k in range(0, len(rows), group):
+        out = model.emissions(np.stack(rows[k : k + group]))
+        for r, (i, w, size) in enumerate(places[k : k + group]):
+            for half in (0, 1):
+                if (to := slot.get((i, w + half))) is not None and size > half * STRIDE:
+                    a, b = half * STRIDE, min(size, (half + 1) * STRIDE)
+                    score[to : to + b - a] += out[a:b, r] * _WEIGHT[a:b, None]
+                    weight[to : to + b - a] += _WEIGHT[a:b, None]
+    score /= weight
+    work.sort(key=lambda x: x[2] - x[1])
+    done = 0
+    while done < len(work):
+        part = work[done : done + max(1, 200_000 // (work[done][2] - work[done][1]))]
+        part = [p for p in part if p[2] - p[1] <= 2 * (work[done][2] - work[done][1])]
+        done += len(part)
+        _decode(model, texts, part, score, found)
+
+
+def _decode(model: Tagger, texts: list[str], part: list[tuple[int, int, int, int]], score: np.ndarray, found: list[list[Span]]) -> None:
+    sizes = np.array([e - s for _, s, e, _ in part])
+    s3 = np.zeros((sizes.max(), len(part), TAGS), np.float32)
+    for j, (_, s, e, row) in enumerate(part):
+        s3[: e - s, j] = score[row : row + e - s]
+    move, start = model.params[9], model.params[10]
+    first = np.stack([start if s == 0 else move[0] for _, s, _, _ in part])
+    last = np.stack([np.zeros(TAGS, np.float32) if e == len(texts[i]) else move[:, 0] for i, _, e, _ in part])
+    tags = viterbi(move, first, last, s3, sizes)
+    for j, (i, s, e, _) in enumerate(part):
+        text = texts[i]
+        for kind, x, y in _spans_of(tags[: e - s, j]):
+            piece = text[s + x : s + y]
+            a = s + x + len(piece) - len(piece.lstrip(" "))
+            piece = piece.strip(" ")
+            if kind == 0 and not plausible(0, piece):
+                found[i] += _cut_out(text, s + x, s + y)
+            elif plausible(kind, piece) and not _glued(text, a, a + len(piece)):
+                found[i].append((kind, a, a + len(piece)))
+
+
 def _cut_out(text: str, s: int, e: int) -> list[Span]:
     """The e-mail addresses in whole words of a marked stretch."""
     while s > 0 and (text[s - 1].isalnum() or text[s - 1] in "_.%+-"):
@@ -432,11 +487,14 @@ def all_spans(model: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Sp
     base = [base_spans(t) if _HINT.search(t) else [] for t in texts]
     out = []
     for own, more in zip(base, tagged(model, texts), strict=True):
-        taken = sorted((s, e) for _, s, e in own)
+        taken = sorted((s, e) for _, s, e in own)  # base spans of two kinds may overlap
+        reach = list(itertools.accumulate((e for _, e in taken), max))
         added: list[Span] = []
-        for k, s, e in sorted(more, key=lambda x: x[1]):
-            if all(e <= a or b <= s for a, b in taken):
-                taken.append((s, e))
+        free = 0
+        for k, s, e in sorted(more, key=lambda x: (x[1], x[2], x[0])):  # of added spans that overlap, the first stays
+            before = bisect.bisect_left(taken, (e, 0))
+            if s >= free and (not before or reach[before - 1] <= s):
+                free = e
                 added.append((k, s, e))
         out.append((own, sorted(own + added)))
     return out
@@ -468,7 +526,7 @@ def found(docs: DataFrame, model: Tagger | None = None, text: str = "text", key:
             n = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([b.column(0), *n, pa.array(map(coded, base), pa.string()), pa.array(map(coded, every), pa.string())], [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(released(run), schema)
 
 
 def redacted(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
@@ -492,7 +550,7 @@ def redacted(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
                 new.append(t)
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(released(run), docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
 
 

@@ -1,9 +1,16 @@
 """Tokenizer encoding by cached pieces, token files, and reading them back.
 
-A text is cut only where the tokenizer itself always cuts, so the ids of the pieces, one after another, are the ids of
-the text: at ASCII white space for a tokenizer that drops white space, and for the byte-level one before a single space
-or newline between two characters that are not white space. Each worker keeps the ids of pieces it has met (at most
-CACHE, then afresh); new pieces go to the tokenizers library.
+Ids are those of the tokenizers library with add_special_tokens=False, its other settings as they are: the string of a
+special token in a text is that token. Such a text goes to the library whole. Any other text is cut only where the
+tokenizer itself always cuts, so the ids of the pieces, one after another, are the ids of the text: at ASCII white space
+for a tokenizer that drops white space, and for the byte-level one before a single space or newline between two
+characters that are not white space. Each worker keeps the ids of pieces it has met (at most `cache`, those met first);
+new pieces go to the tokenizers library.
+
+Defined results: null and empty texts have no ids but the end id; one very long text is encoded whole in one worker; rows
+that repeat a doc_id are written one by one, null ids first, equal ids in the order of a hash of the text (so that many
+rows of one id are spread over parts); ids beyond 16 bits make all files 32 bits wide; an empty table gives no part and
+an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,6 +21,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir, small_batches
+from .common import read, released, shared_dir, small_batches
 
 CACHE = 800_000
 WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -57,10 +65,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.limit, self.known, self.tails = cache, {}, {}
         spec = json.load(open(path, encoding="utf-8"))
         self.cut = self._whole
+        added = spec.get("added_tokens") or []
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
+        if any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+            return  # such a token may also be found in a changed text: no cutting
         before = spec.get("pre_tokenizer") or {}
         steps = before.get("pretokenizers", [])
         if not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
@@ -93,6 +104,9 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         pieces = [self.cut(t or "") for t in texts]
+        whole = {i: t for i, t in enumerate(texts) if t and self.special and self.special.search(t)}
+        for i in whole:
+            pieces[i] = []
         new = set()
         for p in pieces:
             new.update(set(p).difference(self.known))
@@ -100,6 +114,8 @@ class Encoder:
         self._learn(list(new))
         known = self.known
         out = [b"".join([known[x] for x in p]) for p in pieces]
+        for i, t in whole.items():
+            out[i] = array("I", self.model.encode(t, add_special_tokens=False).ids).tobytes()
         if full:  # what was met first stays: frequent pieces are among it
             for p in new:
                 del known[p]
@@ -133,13 +149,14 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """One for each worker process, kept between tasks. Threads of the library stay off: tasks are the parallelism."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
+    if path not in _encoders or _encoders[path].limit != cache:
+        _encoders.clear()
+        _encoders[path] = Encoder(path, cache)
     return _encoders[path]
 
 
@@ -160,19 +177,28 @@ def batches_of(texts: list, limit: int = 4 << 20) -> Iterator[tuple[int, list]]:
 NO_ID = -(2**63)
 
 
+class Part(NamedTuple):
+    """A part's number, the ids before it, its documents, and the names of its files."""
+
+    part: int
+    base: int
+    docs: int
+    name: str
+
+
+_PARTS = "part bigint, base bigint, docs bigint, name string"
+
+
 def _fs(folder: str):
     return pafs.FileSystem.from_uri(folder)
 
 
 def _put(folder: str, name: str, chunks) -> None:
-    """Write a file whole, then rename it: a task that runs twice leaves one whole file."""
     fs, path = _fs(folder)
     fs.create_dir(path, recursive=True)
-    draft = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(draft) as out:
+    with fs.open_output_stream(f"{path}/{name}") as out:
         for c in chunks:
             out.write(c)
-    fs.move(draft, f"{path}/{name}")
 
 
 def _get(folder: str, name: str, dtype: str) -> np.ndarray:
@@ -185,20 +211,29 @@ def _get(folder: str, name: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, end: int, text: str = "text", key: str = "doc_id", wide: bool = False) -> list[tuple[int, int, int]]:
-    """Write part-N.bin (flat unsigned 16- or 32-bit ids) and part-N.idx (doc ids, 64-bit global offsets) in ascending
-    doc_id order; returns (part, base, documents) for each part.
+def is_wide(path: str, end: int) -> bool:
+    """Whether ids of this tokenizer, or the end id, need 32 bits."""
+    from tokenizers import Tokenizer
+
+    return max(end, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) > 0xFFFF
+
+
+def write_tokens(docs: DataFrame, folder: str, path: str, end: int, text: str = "text", key: str = "doc_id") -> list[Part]:
+    """Write <name>.bin (flat unsigned 16- or 32-bit ids) and <name>.idx (doc ids, 64-bit global offsets) for each part, in
+    ascending doc_id order, and manifest.json, which lists the parts.
 
-    Rows are dealt by ranges of doc_id. A part's base is the sum of the ids in the parts before it; one number for each
-    part goes through the driver. Null texts are empty; null ids come first; equal ids are ordered by text.
+    Rows are dealt by ranges of doc_id. A part's base is the sum of the ids in the parts before it; one row for each
+    part goes through the driver. Every attempt of a task writes files of its own name; those of the attempts that
+    counted are in the manifest, the others are removed.
     """
     small_batches(docs.sparkSession)
-    dtype = "<u4" if wide else "<u2"
+    dtype = "<u4" if is_wide(path, end) else "<u2"
 
     def write(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
+        name = f"part-{part:06d}-{uuid.uuid4().hex}"
         ids, sizes = [], []
 
         def flat():
@@ -212,49 +247,74 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int, text: str =
                         sizes.append(len(a))
                         yield a.astype(dtype).tobytes()
 
-        _put(folder, f"part-{part:06d}.bin", flat())
-        _put(folder, f"part-{part:06d}.len", [np.array([ids, sizes], "<i8").tobytes()])
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([sum(sizes)], pa.int64())], ["part", "docs", "ids"])
+        _put(folder, f"{name}.bin", flat())
+        _put(folder, f"{name}.len", [np.array([ids, sizes], "<i8").tobytes()])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([sum(sizes)], pa.int64()), pa.array([name])], ["part", "docs", "ids", "name"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    made = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "part bigint, docs bigint, ids bigint").collect()
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    made = dealt.mapInArrow(released(write), "part bigint, docs bigint, ids bigint, name string").collect()
     parts, base = [], 0
     for r in sorted(made):
-        parts.append((r["part"], base, r["docs"]))
+        if r["docs"]:
+            parts.append(Part(r["part"], base, r["docs"], r["name"]))
         base += r["ids"]
 
     def index(batches):
         for b in batches:
-            for part, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, sizes = _get(folder, f"part-{part:06d}.len", "<i8").reshape(2, -1)
-                _put(folder, f"part-{part:06d}.idx", [ids.tobytes(), (start + np.concatenate([[0], np.cumsum(sizes)])).astype("<i8").tobytes()])
-            yield b.select([0])
-
-    _parts(docs.sparkSession, parts).mapInArrow(index, "part bigint").agg(F.count("*")).collect()
+            names = []
+            for start, name in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                ids, sizes = _get(folder, f"{name}.len", "<i8").reshape(2, -1)
+                names.append(f"{name}-{uuid.uuid4().hex}.idx")
+                _put(folder, names[-1], [ids.tobytes(), (start + np.concatenate([[0], np.cumsum(sizes)])).astype("<i8").tobytes()])
+            yield pa.RecordBatch.from_arrays([b.column(3), pa.array(names, pa.string())], ["name", "idx"])
+
+    indexed = {r["name"]: r["idx"] for r in _parts(docs.sparkSession, parts).mapInArrow(index, "name string, idx string").collect()}
+    _commit(folder, parts, indexed, dtype)
     return parts
 
 
-def _parts(spark: SparkSession, parts: list) -> DataFrame:
-    frame = spark.createDataFrame(parts or [(0, 0, 0)], "part bigint, base bigint, docs bigint").where("docs > 0")
-    return frame.repartition(max(1, len(parts)), "part")
+def _commit(folder: str, parts: list[Part], indexed: dict[str, str], dtype: str) -> None:
+    """Give the index files that counted their names, write the manifest, remove what it does not list."""
+    fs, path = _fs(folder)
+    fs.create_dir(path, recursive=True)
+    for name, idx in indexed.items():
+        fs.move(f"{path}/{idx}", f"{path}/{name}.idx")
+    kept = {f"{p.name}.{x}" for p in parts for x in ("bin", "idx")}
+    for f in fs.get_file_info(pafs.FileSelector(path)):
+        if f.base_name not in kept:
+            fs.delete_file(f.path)
+    _put(folder, "manifest.json", [json.dumps({"dtype": dtype, "parts": parts}).encode()])
+
+
+def read_manifest(folder: str) -> tuple[str, list[Part]]:
+    """The width of the ids and the parts of a folder of token files."""
+    fs, path = _fs(folder)
+    with fs.open_input_stream(f"{path}/manifest.json") as f:
+        got = json.loads(f.read())
+    return got["dtype"], [Part(*p) for p in got["parts"]]
+
+
+def _parts(spark: SparkSession, parts: list[Part]) -> DataFrame:
+    return spark.createDataFrame([tuple(p) for p in parts], _PARTS).repartition(max(1, len(parts)), "part")
 
 
-def read_tokens(spark: SparkSession, folder: str, parts: list[tuple[int, int, int]], wide: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the mapped files."""
-    dtype = "<u4" if wide else "<u2"
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the mapped files that the manifest lists."""
+    dtype, parts = read_manifest(folder)
 
     def load(batches):
         for b in batches:
-            for part, base, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                flat, idx = _get(folder, f"part-{part:06d}.bin", dtype), _get(folder, f"part-{part:06d}.idx", "<i8")
+            for base, n, name in zip(*(b.column(i).to_pylist() for i in range(1, 4)), strict=True):
+                flat, idx = _get(folder, f"{name}.bin", dtype), _get(folder, f"{name}.idx", "<i8")
                 ids, at = idx[:n], idx[n:]
                 crc = [zlib.crc32(flat[s - base : e - base].astype("<u4").tobytes()) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _parts(spark, parts).mapInArrow(load, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return _parts(spark, parts).mapInArrow(released(load), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
-    parts = write_tokens(read(spark, sf_dir, "documents"), folder, tokenizer_path(WORD_TOKENIZER), 2)
-    return read_tokens(spark, folder, parts)
+    write_tokens(read(spark, sf_dir, "documents"), folder, tokenizer_path(WORD_TOKENIZER), 2)
+    return read_tokens(spark, folder)

@@ -12,12 +12,12 @@ def test_form(form):
     assert pii.plausible(0, form)
     for before in (0, 47, 48, 300):
         text = "x" * before + " " + form + " " + "y" * 300
-        assert any(s <= before + 1 and before + 1 + len(form) <= e for s, e in pii._windows(text))
+        assert any(s <= before + 1 and before + 1 + len(form) <= e for s, e in pii._stretches(text, pii._cells(text)))
 
 
 def test_long_name_is_read_whole():
     text = "z" * 100 + " " + "jane" * 30 + " [at] example [dot] com"
-    assert any(s <= 101 and e == len(text) for s, e in pii._windows(text))
+    assert any(s <= 101 and e == len(text) for s, e in pii._stretches(text, pii._cells(text)))
 
 
 def test_prose_is_not_an_address():
