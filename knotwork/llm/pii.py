@@ -129,27 +129,27 @@ class Tagger:
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """x: windows by places -> scores of tags, float32."""
-        return _forward(self.params, x)[0]
+        return _forward(self.params, x, learn=False)[0]
 
 
 def _sigmoid(x):
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _lstm(w, u, b, e, back):
-    """e: places by windows by inputs. Returns the states and what the gradient needs."""
+def _lstm(w, u, b, e, back, learn=True):
+    """e: places by windows by inputs. Returns the states and, to learn, what the gradient needs."""
     n, m, _ = e.shape
     h, c = np.zeros((m, HIDDEN), np.float32), np.zeros((m, HIDDEN), np.float32)
-    pre = e @ w + b
     out, kept = np.zeros((n, m, HIDDEN), np.float32), [None] * n
     for t in range(n - 1, -1, -1) if back else range(n):
-        z = pre[t] + h @ u
+        z = e[t] @ w + b + h @ u
         s = _sigmoid(z[:, : 3 * HIDDEN])
         g = np.tanh(z[:, 3 * HIDDEN :])
         i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
         c_new = f * c + i * g
         tc = np.tanh(c_new)
-        kept[t] = (i, f, o, g, c, tc, h)
+        if learn:
+            kept[t] = (i, f, o, g, c, tc, h)
         h, c = o * tc, c_new
         out[t] = h
     return out, kept
@@ -172,10 +172,10 @@ def _lstm_grad(w, u, e, kept, d_out, back):
     return dw, du, db, de
 
 
-def _forward(p, x):
+def _forward(p, x, learn=True):
     e = p[0][x.T]
-    hf, kf = _lstm(p[1], p[2], p[3], e, False)
-    hb, kb = _lstm(p[4], p[5], p[6], e, True)
+    hf, kf = _lstm(p[1], p[2], p[3], e, False, learn)
+    hb, kb = _lstm(p[4], p[5], p[6], e, True, learn)
     h = np.concatenate([hf, hb], 2)
     return h @ p[7] + p[8], (e, h, kf, kb)
 
@@ -390,7 +390,7 @@ def _stretches(text: str, cells: list[int]) -> list[tuple[int, int]]:
 _WEIGHT = np.minimum(np.arange(WIDTH) + 1, WIDTH - np.arange(WIDTH)).astype(np.float32)
 
 
-def tagged(model: Tagger, texts: list[str], group: int = 1024, everything: bool = False) -> list[list[Span]]:
+def tagged(model: Tagger, texts: list[str], group: int = 512, everything: bool = False) -> list[list[Span]]:
     """Plausible spans of the network in each text.
 
     Window w covers the cells w and w + 1, so a cell is read by two windows. Outside of `_cells` every character is
