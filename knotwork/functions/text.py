@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from . import fixed
+from . import fixed, indic
 
 
 def _col(x) -> Column:
@@ -22,6 +22,12 @@ def clean(x) -> Column:
     return F.trim(F.regexp_replace(F.replace(x, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
 
 
+def to_ascii(x) -> Column:
+    """Latin accents folded and Indian scripts in Latin letters, lower case; ASCII texts pass through as they are."""
+    x = _col(x)
+    return F.when(x.rlike("[^\\x00-\\x7F]"), F.translate(indic.latin(F.lower(x)), *fixed.FOLD)).otherwise(x)
+
+
 def words(x, least: int = 1) -> Column:
     return F.filter(F.split(_col(x), " "), lambda w: F.length(w) >= least)
 

@@ -40,7 +40,7 @@ def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     own = F.col("o1") == F.col("o")
     d = L.within_record(pairs).join(stats, "s").withColumns({"partner": F.when(own, F.col("o2")).otherwise(F.col("o1")), "pt_tok": F.when(own, F.col("t2")).otherwise(F.col("t1"))})
     d = d.join(_sided(texts, "o", "src", *TEXTS), "o").join(_sided(texts, "s", *TEXTS), "s").join(_sided(texts, "partner", *PARTNER), "partner", "left")
-    numbers = L.number_features(d).withColumnRenamed("num_delta", "num_diff").drop("num_rel")
+    numbers = {k.replace("num_delta", "num_diff"): c.cast("double") for k, c in L.number_columns().items() if k != "num_rel"}
     both, paired = (F.col("nums_o") != "") & (F.col("nums_s") != ""), F.col("partner").isNotNull()
     sims = {f"{c}_{k}": f(f"{c}_o", f"{c}_s") for c, fs in SIMILARITIES.items() for k, f in fs.items()}
     sims["nums_tset"] = F.when(both, sims["nums_tset"])
@@ -48,9 +48,8 @@ def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     plain = {"tok": F.col("tok"), "rank": F.col("rank"), "tok_rel": F.col("rel"), "tok_gap": F.col("gap"), "n_cand": F.col("n_cand"), "src": F.col("src_o"), "s_n": F.col("s_n"), "s_top1": F.col("s_top1")}
     plain |= {"len_core": F.length("core_o"), "len_core_s": F.length("core_s"), "len_addr": F.length("addr_o"), "len_addr_s": F.length("addr_s")}
     plain |= {"pt_tok": F.when(paired, F.col("pt_tok")), "o_no_num": F.col("nums_o") == ""}
-    out = d.select("o", "s", *[x.cast("double").alias(k) for k, x in (sims | plain).items()]).join(numbers, ["o", "s"])
-    flags = [F.col(c).cast("double").alias(c) for c in ("num_first_eq", "num_jacc", "num_o_in_s", "num_s_in_o", "num_diff")]
-    return out.select("o", "s", *sims, *plain, *flags, F.col("num_diff").between(1, 60).cast("double").alias("num_up"))
+    plain |= numbers | {"num_up": numbers["num_diff"].between(1, 60)}
+    return d.select("o", "s", *[x.cast("double").alias(k) for k, x in (sims | plain).items()])
 
 
 def _reference_stats(pairs: DataFrame) -> DataFrame:

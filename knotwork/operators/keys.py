@@ -60,6 +60,21 @@ def linked(records: DataFrame) -> DataFrame:
     return by_name.union(_by_key(addresses, common).withColumn("kind", F.lit("address")))
 
 
+def initials(forms: DataFrame, references: DataFrame) -> DataFrame:
+    """(o, s) of records whose raw name is initials or a website, by country and address key; a record with exactly one
+    fitting reference links.
+
+    forms: (o, country, key, raw), references: (s, country, key, core). Initials fit a core whose words begin with them, a
+    website or tag fits a core that it holds, written together.
+    """
+    raw = F.col("raw")
+    j = forms.where(raw.rlike(fixed.INITIALS) | raw.rlike(fixed.WEB)).join(references, ["country", "key"])
+    short = F.array_join(F.transform(T.words("core"), lambda w: F.substring(w, 1, 1)), "")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(raw), r"^[#@]|\.(com|fr|net|org|in|co)$", ""), "[^a-z0-9]", "")
+    fit = F.when(raw.rlike(fixed.INITIALS), F.startswith(short, F.lower(raw))).otherwise(F.contains(plain, T.squashed("core")))
+    return L.unique_keys(j.where(fit), "o").select("o", "s")
+
+
 def preferred(links: DataFrame) -> DataFrame:
     """One link a record: 'name' before 'address', then the smallest reference."""
     w = Window.partitionBy("o").orderBy(F.col("kind") != "name", "s")

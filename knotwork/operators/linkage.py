@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import similarity as S
 from ..functions import text as T
+from ..sources.store import written
 
 #: Rarest tokens of a record, highest document frequency, pool before and candidates after re-ranking.
 RAREST, CAP, POOL, KEPT = 8, 500, 100, 10
@@ -37,23 +41,44 @@ def tokens(records: DataFrame) -> DataFrame:
 
 def frequencies(postings: DataFrame, n: Column, cap: int = CAP) -> DataFrame:
     """(country, token, df, idf) of the reference records' tokens up to cap; idf in millionths, so that sums are exact."""
-    df = postings.groupBy("country", "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= cap)
-    return df.withColumn("idf", F.round(F.log(n / F.col("df")) * 1e6).cast("long"))
+    return _weighed(postings.groupBy("country", "token").agg(F.count(F.lit(1)).alias("df")), n, cap)
 
 
 def candidates(records: DataFrame, cap: int = CAP, rarest: int = RAREST, kept: int = KEPT) -> DataFrame:
     """(o, s, tok, rank): the references (src 0) that share the rarest tokens of each other record, best sums first.
 
-    The join fans out to at most rarest * cap rows a record; top-k ranks become window group limits before the shuffle.
+    Tokens are joined as 64-bit hashes of country and token. The join fans out to at most rarest * cap rows a record; top-k
+    ranks become window group limits before the shuffle. Normalising and cutting into tokens is done once: the postings
+    are a written table.
     """
-    every = tokens(records)
-    base, others = every.where("src = 0"), every.where("src <> 0")
+    every = written(tokens(records.where("country IS NOT NULL")).select("rec_id", (F.col("src") == 0).alias("base"), F.xxhash64("country", "token").alias("key"), "token"))
     n = F.lit(records.where("src = 0").count())
-    idf = frequencies(base, n, cap)
-    o = others.join(idf, ["country", "token"]).withColumn("r", F.row_number().over(Window.partitionBy("rec_id").orderBy("df", "token"))).where(F.col("r") <= rarest)
-    index = base.join(idf.select("country", "token"), ["country", "token"]).select("country", "token", F.col("rec_id").alias("s"))
-    sums = o.select(F.col("rec_id").alias("o"), "country", "token", "idf").join(index, ["country", "token"]).groupBy("o", "s").agg(F.sum("idf").alias("tok"))
-    return ranked(sums, kept)
+    base = every.where("base").select("key", F.col("rec_id").alias("s"))
+    idf = _weighed(base.groupBy("key").agg(F.count(F.lit(1)).alias("df")), n, cap)
+    by_rarity = Window.partitionBy("rec_id").orderBy("df", "token")
+    o = every.where("NOT base").join(idf, "key").withColumn("r", F.row_number().over(by_rarity)).where(F.col("r") <= rarest).select(F.col("rec_id").alias("o"), "key", "idf")
+    index = base.join(o.select("key").distinct(), "key", "left_semi")
+    return ranked(o.join(index, "key").groupBy("o", "s").agg(F.sum("idf").alias("tok")), kept)
+
+
+def _weighed(counts: DataFrame, n: Column, cap: int) -> DataFrame:
+    """Counts df up to cap, with idf in millionths, so that sums are exact."""
+    return counts.where(F.col("df") <= cap).withColumn("idf", F.round(F.log(n / F.col("df")) * 1e6).cast("long"))
+
+
+def reranked(records: DataFrame, cap: int = CAP, rarest: int = RAREST, pool: int = POOL, kept: int = KEPT) -> DataFrame:
+    """(o, s, tok, rs, rank): a pool of candidates by their sums, ordered by the token-set similarity of cores and
+    addresses, then by the sums; the best are kept."""
+    n = records.select("rec_id", "core", "addr")
+    c = candidates(records, cap, rarest, pool).drop("rank").join(n.toDF("o", "co", "ao"), "o").join(n.toDF("s", "cs", "as"), "s")
+    scored = c.select("o", "s", "tok", (S.token_set_of("co", "cs") + S.token_set_of("ao", "as")).alias("rs"))
+    return ranked(scored, kept, F.desc("rs"))
+
+
+def recall(candidates: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
+    """One row: true pairs (o, s), and how many of them are candidates up to each rank."""
+    both = truth.select("o", "s").distinct().join(candidates.select("o", "s", "rank"), ["o", "s"], "left")
+    return both.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("rank") <= k, 1)).alias(f"top{k}") for k in ks])
 
 
 def ranked(pairs: DataFrame, k: int, *by: Column) -> DataFrame:
@@ -100,6 +125,10 @@ def within_record(pairs: DataFrame, score: str = "tok") -> DataFrame:
 
 
 def number_features(pairs: DataFrame) -> DataFrame:
+    return pairs.select("o", "s", *[c.alias(k) for k, c in number_columns().items()])
+
+
+def number_columns() -> dict[str, Column]:
     """House-number features of nums_o and nums_s; null where either side has none. num_rel: 0 neither, 1 no o, 2 no s,
     3 equal, 4 up by 1..60, 5 down by 1..60, 6 other."""
     a, b = T.words("nums_o"), T.words("nums_s")
@@ -108,11 +137,11 @@ def number_features(pairs: DataFrame) -> DataFrame:
     both, delta = has_o & has_s, first("nums_o") - first("nums_s")
     common, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     rel = F.when(~has_o & ~has_s, 0).when(~has_o, 1).when(~has_s, 2).when(delta == 0, 3).when(delta.between(1, 60), 4).when(delta.between(-60, -1), 5).otherwise(6)
-    return pairs.select(
-        "o", "s", F.when(both, F.get(a, 0) == F.get(b, 0)).alias("num_first_eq"), F.when(both, F.round(common / union, 9)).alias("num_jacc"),
-        F.when(both, F.size(F.array_except(a, b)) == 0).alias("num_o_in_s"), F.when(both, F.size(F.array_except(b, a)) == 0).alias("num_s_in_o"),
-        F.when(both, delta).alias("num_delta"), rel.alias("num_rel"),
-    )
+    return {
+        "num_first_eq": F.when(both, F.get(a, 0) == F.get(b, 0)), "num_jacc": F.when(both, F.round(common / union, 9)),
+        "num_o_in_s": F.when(both, F.size(F.array_except(a, b)) == 0), "num_s_in_o": F.when(both, F.size(F.array_except(b, a)) == 0),
+        "num_delta": F.when(both, delta), "num_rel": rel,
+    }
 
 
 # --- merging scored pairs and links ---
@@ -190,7 +219,14 @@ def threshold_grid(best: DataFrame, truth: DataFrame, ids: DataFrame, grid: list
 
 
 def unique_keys(records: DataFrame, *key: str) -> DataFrame:
-    return records.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("c = 1").drop("c")
+    """The records whose key no other has; counts come first, so a frequent key is no task's alone. Null keys are equal."""
+    names = [f"_k{i}" for i in range(len(key))]
+    once = records.groupBy(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)]).agg(F.count(F.lit(1)).alias("_c")).where("_c = 1")
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(key, names, strict=True)]
+    fits = same[0]
+    for x in same[1:]:
+        fits = fits & x
+    return records.join(once, fits, "left_semi")
 
 
 def added_words(pairs: DataFrame, words: list[str]) -> Column:
@@ -221,12 +257,46 @@ def word_dictionary(pairs: DataFrame, least: int = 2, share: float = 0.5) -> Dat
     return top.where((F.col("n") >= least) & (F.col("n") >= F.col("all") * share) & (F.col("x") != F.col("y"))).select("x", "y", "n")
 
 
+#: Points of a block, and queries of a block, of one matrix product.
+POINT_BLOCK, QUERY_BLOCK = 4096, 1024
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
-    """(o, s, rank, sim): the k points of highest inner product for each stated query, within a country.
+    """(o, s, rank, sim): the k points of highest inner product for each stated query, within a country; ties to the
+    smaller point.
 
-    A stated query set runs against all points: partial top-k windows keep at most k rows a query and task.
+    Exact. Points and queries are dealt into blocks of about POINT_BLOCK and QUERY_BLOCK rows by hashes of their ids (as
+    many as the country's counts ask for), and every pair of a query block and a point block is one matrix product
+    that keeps k points a query, so a frequent country is many tasks. Null vectors and countries match nothing.
     """
-    both = queries.select("o", "country", F.col("v").alias("a")).join(points.select("s", "country", F.col("v").alias("b")), "country")
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
-    sims = both.where("o <> s").select("o", "s", F.round(dot, 6).alias("sim"))
-    return sims.withColumn("rank", F.row_number().over(Window.partitionBy("o").orderBy(F.desc("sim"), "s"))).where(F.col("rank") <= k)
+    numbered = lambda d, key, side, size: _blocks(d.where("v IS NOT NULL AND country IS NOT NULL"), key, side, size)
+    q, nq = numbered(queries.select("o", "country", "v"), "o", "qb", QUERY_BLOCK)
+    p, np_ = numbered(points.select("s", "country", "v"), "s", "pb", POINT_BLOCK)
+    both = nq.withColumnRenamed("blocks", "nq").join(np_.withColumnRenamed("blocks", "np"), "country")  # a row a country
+    q = q.join(both.select("country", "np"), "country").select(F.col("country").alias("at"), "qb", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("pb"), F.col("o").alias("id"), F.col("v").alias("a"))
+    p = p.join(both.select("country", "nq"), "country").select("country", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "pb", F.col("s").alias("id"), F.col("v").alias("b"))
+    schema = "o bigint, s bigint, sim double"
+
+    def product(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"o": pa.array([], pa.int64()), "s": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        x, y = (np.stack([np.asarray(v, np.float64) for v in t[c].to_pylist()]) for t, c in ((a, "a"), (b, "b")))
+        o, s = a["id"].to_numpy(), b["id"].to_numpy()
+        order = np.argsort(s, kind="stable")
+        s, y = s[order], y[order]
+        sims = np.round(x @ y.T, 6)
+        sims[o[:, None] == s[None, :]] = -np.inf
+        rows = []
+        for i, row in enumerate(sims):
+            first = np.argsort(-row, kind="stable")[:k]
+            rows += [(o[i], s[j], row[j]) for j in first[row[first] > -np.inf]]
+        return pa.table([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["o", "s", "sim"])
+
+    found = q.groupBy("at", "qb", "pb").cogroup(p.groupBy("country", "qb", "pb")).applyInArrow(product, schema)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("o").orderBy(F.desc("sim"), "s"))).where(F.col("rank") <= k)
+
+
+def _blocks(rows: DataFrame, key: str, name: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """rows with their block's number, and each country's number of blocks."""
+    n = rows.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    return rows.join(n, "country").withColumn(name, F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("blocks"), n

@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import similarity as S
 from ..functions import text as T
+from ..operators import keys
 from ..operators import linkage as L
 from ..sources import tables
 from . import records as R
-from . import keyed, scoring
-
-#: The cap of the SQL below only; the queries run with the operators' own.
-CAP = 50
+from . import keyed, learning, scoring
 
 
 def _cand(spark, sf):
@@ -83,13 +81,10 @@ GRID = [(p, m) for p in (0, 15_000_000, 30_000_000) for m in (0, 5_000_000, 20_0
 def _initials(spark, sf):
     """Website and initials forms against references, by the address key; a record with exactly one fit links."""
     b = R.businesses(spark, sf)
-    ref = b.where("kind = 0").select(F.col("k").alias("s"), "nums_street", T.without("name", fixed.LEGAL).alias("core"))
-    form = b.where("kind = 1").select(F.col("k").alias("o"), "nums_street", F.when(F.col("k") % 2 == 0, F.upper(F.array_join(F.transform(T.words("name"), lambda w: F.substring(w, 1, 1)), ""))).otherwise(F.concat(T.squashed("name"), F.lit(".com"))).alias("raw"))
-    j = form.where(F.col("raw").rlike(fixed.INITIALS) | F.col("raw").rlike(fixed.WEB)).join(ref, "nums_street")
-    short = F.array_join(F.transform(T.words("core"), lambda w: F.substring(w, 1, 1)), "")
-    plain = F.regexp_replace(F.regexp_replace(F.lower("raw"), r"^[#@]|\.(com|fr|net|org|in|co)$", ""), "[^a-z0-9]", "")
-    fit = F.when(F.col("raw").rlike(fixed.INITIALS), F.startswith(short, F.lower("raw"))).otherwise(F.contains(plain, T.squashed("core")))
-    return L.unique_keys(j.where(fit), "o").select("o", "s")
+    here = [F.lit("x").alias("country"), F.col("nums_street").alias("key")]
+    ref = b.where("kind = 0").select(F.col("k").alias("s"), *here, T.without("name", fixed.LEGAL).alias("core"))
+    form = b.where("kind = 1").select(F.col("k").alias("o"), *here, F.when(F.col("k") % 2 == 0, F.upper(F.array_join(F.transform(T.words("name"), lambda w: F.substring(w, 1, 1)), ""))).otherwise(F.concat(T.squashed("name"), F.lit(".com"))).alias("raw"))
+    return keys.initials(form, ref)
 
 
 def _unique_link(spark, sf):
@@ -110,15 +105,6 @@ def _similar(spark, sf):
     return p.select("o", "s", *[F.round(f("name_o", "name_s"), 6).alias(k) for k, f in fns.items()], F.round(S.jaro_winkler_of("name_o", "name_s"), 6).alias("jaro_winkler"))
 
 
-def _rerank(spark, sf):
-    """The pool of best sums, ordered by token-set similarity of names and addresses, then by its sums."""
-    r = R.normalized(spark, sf)
-    n = r.select("rec_id", "core", "addr")
-    c = L.candidates(r, kept=L.POOL).drop("rank").join(n.toDF("o", "co", "ao"), "o").join(n.toDF("s", "cs", "as"), "s")
-    scored = c.select("o", "s", "tok", (S.token_set_of("co", "cs") + S.token_set_of("ao", "as")).alias("rs"))
-    return L.ranked(scored, L.KEPT, F.desc("rs"))
-
-
 def _features(spark, sf):
     p = R.business_pairs(spark, sf)
     return p.select("o", "s", F.when(F.col("o") % 10 == 3, 0).otherwise(1).alias("y"), S.ratio_of("name_o", "name_s").alias("x1"), S.token_set_of("name_o", "name_s").alias("x2"), F.coalesce((F.col("nums_o") == F.col("nums_s")).cast("double"), F.lit(-1.0)).alias("x3"))
@@ -169,10 +155,11 @@ QUERIES = {
     "repeated_word_rule": lambda s, d: R.business_pairs(s, d).select("o", "s", L.repeats_word().alias("repeats"), L.added_words(None, fixed.DECOY_WORDS).alias("adds")),
     "aligned_word_dictionary": lambda s, d: L.word_dictionary(R.business_pairs(s, d), share=0.1),
     "fuzzy_scores": _similar,
-    "token_set_rerank": _rerank,
+    "token_set_rerank": lambda s, d: L.reranked(R.normalized(s, d)),
     "gbt_out_of_fold": _oof,
     **scoring.QUERIES,
     **keyed.QUERIES,
+    **learning.QUERIES,
 }
 
 # --- SQL -------------------------------------------------------------------------------------------------------------
@@ -212,7 +199,7 @@ _REGION = f"list_filter(string_split(raw_addr, ','), lambda p: NOT list_contains
 _SND = lambda x: _rx(_chain(_chain(x, fixed.SOUND), [(f"{c}{c}", c) for c in "abcdefghijklmnopqrstuvwxyz"] * 2), "s( |$)", "$1")
 NORM = f"""
 raw AS (SELECT doc_id AS rec_id, CAST(doc_id % 3 AS INT) AS src, lang AS country, split_part(coalesce(text, ''), chr(10), 1) AS raw_name,
-  substr(coalesce(text, ''), length(split_part(coalesce(text, ''), chr(10), 1)) + 2, 300) AS raw_addr FROM documents),
+  substr(coalesce(text, ''), length(split_part(coalesce(text, ''), chr(10), 1)) + 2) AS raw_addr FROM documents),
 n1 AS (SELECT rec_id, src, country, {_chain(_clean("raw_name"), fixed.NAME_FIX)} AS nm, {_chain(_clean(f"CASE WHEN country = 'fr' THEN array_to_string({_REGION}, ',') ELSE raw_addr END"), _NUM)} AS ad FROM raw),
 n2 AS (SELECT rec_id, src, country, CASE WHEN {_rx("nm", fixed.ALIAS, "")} <> '' THEN {_rx("nm", fixed.ALIAS, "")} ELSE nm END AS nm, CASE WHEN country = 'fr' THEN {_chain("ad", _BIS)} ELSE ad END AS ad FROM n1),
 n3 AS (SELECT rec_id, src, country, CASE WHEN country = 'fr' THEN {_map("nm", fixed.FR_NAME)} ELSE nm END AS name, ad FROM n2),
@@ -235,7 +222,7 @@ tok AS (SELECT rec_id, src, country, unnest(list_distinct(list_concat({_w("core"
   {_pair("core", "n:")}, {_pair("addr", "a:")}, list_transform({_w("snd", 3)}, lambda w: '~' || w),
   CASE WHEN length(sq) >= 6 THEN ['^' || substr(sq, 1, 6), '~^' || substr(sqs, 1, 5)] ELSE [] END))) AS token FROM sounds)"""
 )
-IDF = TOK + f""", idf AS (SELECT country, token, count(*) AS df, CAST(round(ln((SELECT count(*) FROM norm WHERE src = 0) / count(*)) * 1e6) AS BIGINT) AS idf FROM tok WHERE src = 0 GROUP BY country, token HAVING count(*) <= {CAP})"""
+IDF = TOK + f""", idf AS (SELECT country, token, count(*) AS df, CAST(round(ln((SELECT count(*) FROM norm WHERE src = 0) / count(*)) * 1e6) AS BIGINT) AS idf FROM tok WHERE src = 0 GROUP BY country, token HAVING count(*) <= {L.CAP})"""
 CAND = (
     IDF
     + f""", o8 AS (SELECT * FROM (SELECT t.rec_id AS o, t.country, t.token, i.idf, row_number() OVER (PARTITION BY t.rec_id ORDER BY i.df, t.token) AS r FROM tok t JOIN idf i USING (country, token) WHERE t.src <> 0) WHERE r <= {L.RAREST}),
@@ -304,4 +291,5 @@ c AS (SELECT z[1] AS x, z[2] AS y, count(*) AS n FROM z GROUP BY ALL), r AS (SEL
 SELECT x, y, n FROM r WHERE r = 1 AND n >= 2 AND n >= t * 0.1 AND x <> y""",
     **scoring.ORACLES,
     **keyed.ORACLES,
+    **learning.ORACLES,
 }
