@@ -9,7 +9,7 @@
 4. What is left falls into small candidate groups. In each, incidence rows are multiplied block by block: overlap
    counts of a block of rows against all rows not yet reached; pairs below the bound are discarded, the rest link.
    Only a spanning forest of each block is emitted: components and links between components are whole without listing
-   all pairs of a group. Groups over a tile are split into pairs of tiles.
+   all pairs of a group. Groups over a tile fall into tiles by size, and only tiles of fitting sizes are paired.
 
 Rows are named by a hash of doc_id and text, so rows that share a doc_id (or have none) are kept apart and repeated rows
 are one. Doc_ids come in at the end: a component is named by its smallest doc_id that is not null.
@@ -22,6 +22,7 @@ text is one set, whole; an empty table gives an empty result; further columns ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -209,14 +210,37 @@ def _one_of_each(posted: DataFrame) -> DataFrame:
     return posted.groupBy("h").agg(*digest).groupBy("m", "d1", "d2").agg(F.min("h").alias("h")).select("h")
 
 
-def _tiled(rows: DataFrame, key: str, weight: Column, tile: int) -> DataFrame:
-    """Order the rows of each key by size, cut them into tiles of about that weight, and give each pair of tiles
-    (key, i, j) its rows; a key of up to one tile has one pair."""
-    w = Window.partitionBy(key)
-    before = F.sum(weight).over(w.orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.withColumn("b", F.floor(F.coalesce(before, F.lit(0)) / F.lit(tile))).withColumn("nb", F.max("b").over(w))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), "nb"))
-    return placed.withColumn("o", other).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o")).drop("b", "nb", "o")
+def _band(percent: int) -> Column:
+    """Sets that can link have the same or neighbouring bands: a band spans the size bound, a little more for rounding."""
+    return F.col("n") if percent >= 100 else F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9)))
+
+
+#: Tiles of one band have numbers from the band's times this on.
+BAND_TILES = 1 << 32
+
+
+def _tiled(rows: DataFrame, key: str, weight: Column, tile: int, percent: int, large: DataFrame | None = None) -> DataFrame:
+    """Give each pair of tiles (key, i, j) its rows. A key of up to one tile has one pair.
+
+    The rows of a larger key fall into bands of sizes, and those of a band into tiles of about that weight by a hash; a tile
+    meets the tiles of its own band and of the next ones, for no others hold a set of fitting size. Keys are weighed by
+    plain sums, so a frequent key is never ordered or gathered in one task.
+    """
+    weighed = rows.withColumns({"_w": weight, "_band": _band(percent)})
+    if large is None:
+        large = sized(weighed.groupBy(key).agg(F.sum("_w").alias("_w")).where(F.col("_w") > tile).select(key))
+    small = weighed.join(large, key, "left_anti").drop("_w", "_band").withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
+    split = weighed.join(large, key, "left_semi")
+    bands = split.groupBy(key, "_band").agg(F.ceil(F.sum("_w") / tile).alias("_t"))
+    near = bands.select(key, F.explode(F.array(*[F.struct((F.col("_band") + d).alias("_band"), F.lit(-d).alias("_to"), "_t") for d in (-1, 0, 1)])).alias("_x")).select(key, "_x.*")
+    tiles = lambda d: F.max(F.when(F.col("_to") == d, F.col("_t")))
+    around = near.groupBy(key, "_band").agg(*[tiles(d).alias(f"_t{d + 1}") for d in (-1, 0, 1)]).where("_t1 IS NOT NULL")
+    code = lambda d, k: (F.col("_band") + d) * F.lit(BAND_TILES) + k
+    first = lambda d: code(d, F.lit(0).cast("long"))
+    others = [F.when(F.col(f"_t{d + 1}") > 0, F.sequence(first(d), first(d) + F.col(f"_t{d + 1}") - 1)).otherwise(F.array().cast("array<bigint>")) for d in (-1, 0, 1)]
+    placed = split.join(sized(around), [key, "_band"]).withColumn("_b", code(0, F.pmod(F.xxhash64("rep"), F.col("_t1")))).withColumn("_o", F.explode(F.concat(*others)))
+    paired = placed.select(*rows.columns, F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"))
+    return small.unionByName(paired)
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 3, percent: int = 90, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
@@ -232,17 +256,21 @@ def _components(docs: DataFrame, text: str, key: str, n: int, percent: int, tile
     grouped_sets = all_rows.where("n > 0").groupBy("d1", "d2", "n").agg(best.alias("r"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("doc"))
     classes = written(grouped_sets.select("d1", "d2", "n", "doc", F.col("r.row").alias("rep"), F.col("r.hist").alias("hist"), F.col("r.index").alias("index")))
 
+    every = classes.select("rep", "n", F.explode("index").alias("h"))
+    frequent = sized(every.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > tile).select("h"))
     # Of the classes that share a shingle, those whose next smaller or next larger one is within the size bound.
     by_size = Window.partitionBy("h").orderBy("n", "rep")
-    posted = classes.select("rep", "n", F.explode("index").alias("h")).withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
-    posted = written(posted.where((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent)).select("h", "rep", "n"))
-    listed = _tiled(posted.join(_one_of_each(posted), "h", "left_semi"), "h", F.lit(1), tile).join(classes.select("rep", "hist"), "rep").select("h", "i", "j", "rep", "n", "hist")
+    few = every.join(frequent, "h", "left_anti").withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
+    few = few.where((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent))
+    posted = written(few.select("h", "rep", "n").unionByName(every.join(frequent, "h", "left_semi").select("h", "rep", "n")))
+    chosen = posted.join(_one_of_each(posted), "h", "left_semi")
+    listed = _tiled(chosen, "h", F.lit(1), tile, percent, frequent).join(classes.select("rep", "hist"), "rep").select("h", "i", "j", "rep", "n", "hist")
     likely = grouped(listed, ["h", "i", "j"], _candidates(percent), "u bigint, v bigint")
     label = connected_components(likely)
 
     # Candidates' texts go to their tiles in one shuffle, and their sets are made again there: smaller than sets of all documents.
     wanted = written(label.join(classes.select("rep", "n"), F.col("node") == F.col("rep")).select("component", "rep", "n"))
-    tiles = _tiled(wanted, "component", F.col("n") + FINE // 4, tile_shingles).select("component", "i", "j", "rep", "n")
+    tiles = _tiled(wanted, "component", F.col("n") + FINE // 4, tile_shingles, percent).select("component", "i", "j", "rep", "n")
     named = docs.select(_row(text, key).alias("rep"), F.coalesce(text, F.lit("")).alias("text"))
     once = named.join(sized(wanted.select("rep")), "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text"))  # repeated rows meet here, one from each task
     rows = once.join(tiles, "rep").select("component", "i", "j", "rep", "text")
