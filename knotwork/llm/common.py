@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bound of one Arrow batch sent to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Row groups of written tables: a task holds one while it writes.
+ROW_GROUP = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +39,7 @@ def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,9 +54,11 @@ def sized(ids: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that long texts do not pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Bound what is read and handed to workers at once, so that long texts do not pile up. These are settings of the
+    session: they hold for its later queries too."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def partitions(spark: SparkSession) -> int:
