@@ -7,7 +7,7 @@ text back. Only texts of roles with loss = true are under the mask, without mark
 Defined results: rows are ordered by turn, then role, then text; null role and text count as empty; an unknown role
 or a turn out of order makes valid false but the conversation is still formatted; a null conv_id is a conversation of
 its own; an empty table gives an empty result; further columns are ignored. A conversation is one output text, so its
-turns meet in one row.
+turns meet in one row, whole, however long they are; rows that repeat a turn are turns of their own.
 """
 
 from __future__ import annotations

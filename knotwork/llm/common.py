@@ -43,6 +43,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Remove all tables and token files that were written to the shared folder: once results have been read."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    for name in ("tables", "tokens"):
+        path = fs_path(f"{shared_dir(spark)}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: A list of ids is broadcast up to so many rows (its rows are counted first, some 100 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 500_000
 

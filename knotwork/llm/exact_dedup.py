@@ -1,10 +1,11 @@
 """Exact dedup over a sharded cuckoo-filter index of text digests.
 
 Digests are reduced inside each map task by a small index, so a group of copies that holds a third of all rows reaches
-its shard as one row a task. Shards are the shuffle partitions of the digests. A fingerprint hit is only a hint: it is
-verified against the keys stored for that bucket (SHA-256 and length of the normalised text).
+its shard as one row a task. Shards are partitions of the digests, as many as their number asks for. A fingerprint hit
+is only a hint: it is verified against the keys stored for that bucket (SHA-256 and length of the normalised text, which
+stand in for the content: no text is sent or compared).
 
-Defined results: null text counts as empty; all empty texts are one group; equal length ties go to the smallest doc_id
+Defined results: null text counts as empty; a very long text is one digest, made whole inside its row; all empty texts are one group; equal length ties go to the smallest doc_id
 (null ids last); rows that repeat one doc_id with one text are one document and carry the same verdict; an empty table
 gives an empty result; further columns are ignored.
 """
@@ -18,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, sized, written
+from .common import partitions, read, released, sized, written
 
 SLOTS, KICKS = 4, 200
 #: Distinct digests that a map task gathers before it passes its partial groups on.
 LOCAL_KEYS = 200_000
+#: Rows that a shard's index is made for, about (some 300 bytes each if all are distinct).
+SHARD_KEYS = 1_000_000
 
 
 class CuckooIndex:
@@ -156,7 +159,8 @@ _GROUP = "digest binary, n bigint, n_chars bigint, keep_id bigint"
 def exact_groups(rows: DataFrame) -> DataFrame:
     """One row a distinct digest: (digest, n, n_chars, keep_id), by local and then by sharded cuckoo indexes."""
     one = rows.select("digest", F.lit(1).cast("long").alias("n"), "n_chars", "doc_id")
-    return one.mapInArrow(_merge(True), _GROUP).repartition("digest").mapInArrow(_merge(False), _GROUP)
+    shards = max(partitions(rows.sparkSession), -(-rows.count() // SHARD_KEYS))
+    return one.mapInArrow(released(_merge(True)), _GROUP).repartition(shards, "digest").mapInArrow(released(_merge(False)), _GROUP)
 
 
 def apply_changes(live: DataFrame, changes: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ them at once. A character that no piece covers becomes its bytes. Decoding joins
 spaces and drops the leading one; a text that itself has U+2581 decodes with spaces there, as the format has it.
 
 The vocabulary file has merge ranks in place of scores; `rank_scores` turns rank r into -ln(r + 2), a Zipf law, and
-`file_scores` takes the file's numbers. Null and empty texts give no ids; an empty table gives an empty result; further
-columns are ignored.
+`file_scores` takes the file's numbers. Null and empty texts give no ids; rows that repeat a doc_id or have none are encoded
+one by one; a very long text is encoded whole in one worker; of paths of one score the one whose last piece starts first
+is taken, as the library does; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import read, released, small_batches
 from .tokens import batches_of, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
@@ -275,7 +276,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
                 same = [(b"".join(plain[f].tolist())[1:].decode() if not k else model.decode(f.tolist())) == (t or "").replace(MARK, " ") for f, t, k in zip(flat, some, n_bytes, strict=True)]
                 yield pa.RecordBatch.from_arrays([keys.slice(first, len(some)), pa.array(coded, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(same)], ["doc_id", "ids", "n_byte_ids", "same"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, ids binary, n_byte_ids bigint, same boolean")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(released(run), "doc_id bigint, ids binary, n_byte_ids bigint, same boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
