@@ -65,14 +65,20 @@ def initials(forms: DataFrame, references: DataFrame) -> DataFrame:
     fitting reference links.
 
     forms: (o, country, key, raw), references: (s, country, key, core). Initials fit a core whose words begin with them, a
-    website or tag fits a core that it holds, written together.
+    website or tag fits a core that it holds, written together. Of an address, equal forms and equal cores are compared
+    once, and counted: a frequent address costs its different texts, not its records.
     """
     raw = F.col("raw")
-    j = forms.where(raw.rlike(fixed.INITIALS) | raw.rlike(fixed.WEB)).join(references, ["country", "key"])
+    at = ["country", "key"]
+    short_forms = forms.where(raw.rlike(fixed.INITIALS) | raw.rlike(fixed.WEB))
+    cores = references.groupBy(*at, "core").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s"))
+    j = short_forms.select(*at, "raw").distinct().join(cores, at)
     short = F.array_join(F.transform(T.words("core"), lambda w: F.substring(w, 1, 1)), "")
     plain = F.regexp_replace(F.regexp_replace(F.lower(raw), r"^[#@]|\.(com|fr|net|org|in|co)$", ""), "[^a-z0-9]", "")
     fit = F.when(raw.rlike(fixed.INITIALS), F.startswith(short, F.lower(raw))).otherwise(F.contains(plain, T.squashed("core")))
-    return L.unique_keys(j.where(fit), "o").select("o", "s")
+    fitting = j.where(fit).groupBy(*at, "raw").agg(F.sum("n").alias("n"), F.min("s").alias("s"))
+    links = short_forms.join(fitting, [*at, "raw"]).groupBy("o").agg(F.sum("n").alias("n"), F.min("s").alias("s"))
+    return links.where("n = 1").select("o", "s")
 
 
 def preferred(links: DataFrame) -> DataFrame:

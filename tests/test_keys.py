@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 import pytest
 
@@ -38,3 +40,14 @@ def test_links(spark):
     assert K.closed(links, links).count() == 2
     with pytest.raises(ValueError, match="12, 2"):
         K.closed(links, links.where("o = 10"))
+
+
+def test_initials_of_a_frequent_address(spark):
+    n, at = 40_000, "'fr' AS country, '1 rue' AS key"
+    many = spark.sql(f"SELECT id AS o, {at}, 'AF' AS raw FROM range({n})")
+    odd = spark.createDataFrame([(-1, "fr", "1 rue", "NT"), (-2, "fr", "1 rue", "novatools.com"), (-3, "fr", "1 rue", "NT"), (-3, "fr", "1 rue", "novatools.com"), (-4, "de", "1 rue", "NT"), (-5, "fr", None, "NT")], "o long, country string, key string, raw string")
+    references = spark.sql(f"SELECT id AS s, {at}, 'acme foods' AS core FROM range({n}) UNION ALL SELECT -9, {at}, 'nova tools' UNION ALL SELECT -8, 'fr', NULL, 'nova tools'")
+    start = time.time()
+    got = {tuple(r) for r in K.initials(many.union(odd), references).collect()}
+    assert got == {(-1, -9), (-2, -9)}
+    assert time.time() - start < 60  # not n times n pairs
